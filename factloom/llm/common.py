@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,6 +30,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()  # what made the table is done with, so Spark's cleaner may drop its shuffle files
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -92,3 +95,58 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return nodes.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def in_blocks(rows: DataFrame, key: str, number: str, most: int) -> DataFrame:
+    """Deals the rows of each key into blocks of at most about 2 * `most` rows, so that every two rows of a key meet in one.
+
+    A key with more than `most` rows is cut into chunks by a hash of the column `number`; a block takes
+    two chunks, and a row goes to one block for each chunk. Adds block (long), side (0 or 1: the chunk
+    of the block that the row belongs to) and alone (the block is one chunk).
+    """
+    counts = rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("chunks"))
+    rows = rows.join(counts, key).withColumn("chunk", F.pmod(F.xxhash64(number), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    rows = rows.select("*", other)
+    block = F.xxhash64(key, F.least("chunk", "other"), F.greatest("chunk", "other"))
+    return (
+        rows.withColumn("block", block)
+        .withColumn("side", (F.col("chunk") > F.col("other")).cast("int"))
+        .withColumn("alone", F.col("chunk") == F.col("other"))
+        .drop("chunk", "other", "chunks", key)
+    )
+
+
+def stacked(cells, dtype):
+    """The rows of a binary column as one array, short ones filled up with zeros."""
+    import numpy as np
+
+    cells = list(cells)
+    width = max(map(len, cells))
+    data = b"".join(cells if min(map(len, cells)) == width else [c.ljust(width, b"\0") for c in cells])
+    return np.frombuffer(data, dtype=dtype).reshape(len(cells), -1)
+
+
+def by_block(rows: DataFrame, prepare, pairs, groups: int) -> DataFrame:
+    """The distinct (a, b) that pairs(columns) finds in each block, many blocks to a call of Python.
+
+    prepare(frame) makes the dictionary of arrays, for many blocks at once; pairs gets their slices.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("block", kind="stable")
+        ids = frame["block"].to_numpy()
+        columns = prepare(frame) | {"side": frame["side"].to_numpy(), "alone": frame["alone"].to_numpy()}
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        out = [
+            pairs({k: v[a:b] for k, v in columns.items()})
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True) if b - a > 1
+        ]
+        found = np.concatenate([np.empty((0, 2), dtype=np.int64), *(x for x in out if len(x))])
+        found = np.unique(found, axis=0)
+        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+    dealt = F.pmod("block", F.lit(groups)).alias("dealt")
+    return rows.groupBy(dealt).applyInPandas(run, "a long, b long").distinct()

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import table
 
-#: The characters that end a word, and those that count as symbols.
-SPACE = " \t\n\x0b\x0c\r"
+#: Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Rows on which costs and rejections are estimated. They steer the order of the rules only.
@@ -29,14 +28,24 @@ def words(text: Column) -> Column:
 
 
 def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), characters, text)
+
+
+def lines_with_words(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def letter_words(found: Column) -> Column:
+    """How many words hold a letter. Those that begin with a basic Latin letter need no pattern."""
+    return F.size(F.filter(found, lambda w: w.between("A", "Z~") | w.between("a", "z~") | w.rlike(r"\p{L}")))
 
 
 def repeated_words(found: Column) -> Column:
     """How many words stand in windows of WINDOW words that the text holds twice or more.
 
-    Windows are hashed; only where hashes repeat are they sorted with their places, and the places
-    of equal neighbours are joined to runs. Linear but for the sort, for texts of any length.
+    A window's hash is made of those of its halves, and these of pairs of words. Texts in which no
+    half repeats are done; else windows are sorted with their places, and the places of equal
+    neighbours are joined to runs. Linear but for the sort, for texts of any length.
     """
 
     def of_places(at: Column) -> Column:
@@ -54,9 +63,17 @@ def repeated_words(found: Column) -> Column:
             F.size(F.array_distinct(hashes)) < F.size(hashes), let(pairs, of_sorted)
         ).otherwise(F.lit(0).cast("long"))
 
+    def doubled(hashes: Column, reach: int) -> Column:
+        n = F.size(hashes) - reach
+        return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, reach + 1, n), lambda a, b: F.xxhash64(a, b))
+
+    def of_halves(half: Column) -> Column:
+        distinct = F.size(F.array_distinct(half)) == F.size(half)
+        return F.when(distinct, F.lit(0).cast("long")).otherwise(let(doubled(half, WINDOW // 2), of_hashes))
+
     def of_words(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-        return F.when(F.size(w) > WINDOW, let(windows, of_hashes)).otherwise(F.lit(0).cast("long"))
+        half = let(doubled(w, 1), lambda pairs: doubled(pairs, 2))
+        return F.when(F.size(w) > WINDOW, let(half, of_halves)).otherwise(F.lit(0).cast("long"))
 
     return let(F.transform(found, lambda w: F.xxhash64(w)), of_words)
 
@@ -64,17 +81,16 @@ def repeated_words(found: Column) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the base measures of each whole text. Null text has no words."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(without(line, SPACE)) > 0)
-    rows = docs.select("doc_id", text.alias("text"), words(text).alias("words"), lines.alias("lines"))
+    rows = docs.select("doc_id", text.alias("text"), words(text).alias("words"), lines_with_words(text).alias("lines"))
     return rows.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.length(without(F.col("text"), SPACE)).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
+        letter_words(F.col("words")).cast("long").alias("n_letter_words"),
     )
 
 
@@ -136,15 +152,14 @@ def keep_good(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """
     order = ordered(docs, sample_rows)
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(without(line, SPACE)) > 0)
     n = F.size(words(text))
     rejects = {
         "too_few_words": n < 20,
         "repeated_windows": 100 * repeated_words(words(text)) > 30 * n,
         "many_symbols": F.length(text) - F.length(without(text, SYMBOLS)) > n,
-        "word_length": ~F.length(without(text, SPACE)).between(2 * n, 15 * n),
-        "repeated_lines": let(lines, lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > 30 * F.size(x)),
-        "few_letters": 10 * F.size(F.filter(words(text), lambda w: w.rlike(r"\p{L}"))) < 4 * n,
+        "word_length": ~F.length(F.array_join(words(text), "")).between(2 * n, 15 * n),
+        "repeated_lines": let(lines_with_words(text), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > 30 * F.size(x)),
+        "few_letters": 10 * letter_words(words(text)) < 4 * n,
     }
     return docs.where(~reduce(lambda rest, name: F.when(rejects[name], True).otherwise(rest), reversed(order), F.lit(False)))
 

@@ -42,10 +42,16 @@ FORMATS = {
     "jwt": r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
 }
-GENERIC = r"(?<![0-9A-Za-z+/=_\-])[0-9A-Za-z+/_\-]{16,512}={0,2}(?![0-9A-Za-z+/=_\-])"
-ASSIGNED = r"(?i:\b(?:" + "|".join(KEYWORDS) + r"))[\"']?\s{0,3}(?:=|:|=>)\s{0,3}[\"'](?P<value>[^\s\"']{8,512})[\"']"
-SCAN = re.compile("|".join([*(f"(?P<{k}>{v})" for k, v in FORMATS.items()), f"(?P<assigned>{ASSIGNED})", f"(?P<generic>{GENERIC})"]))
-BEFORE = re.compile(r"[A-Za-z_]+\W*$")
+#: What a text must hold, as it stands, for a format to be looked for.
+STARTS = {
+    "aws_key_id": ("AKIA", "ASIA"), "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "slack_token": ("xox",),
+    "stripe_key": ("k_live_",), "google_key": ("AIza",), "jwt": ("eyJ",), "private_key": ("-----BEGIN",),
+}
+FORMAT = {name: re.compile(pattern) for name, pattern in FORMATS.items()}
+RUN = re.compile(r"[0-9A-Za-z+/=_\-]{16,}")
+GENERIC = re.compile(r"[0-9A-Za-z+/_\-]{16,512}={0,2}")
+QUOTED = re.compile(r"\"([^\s\"']{8,512})\"|'([^\s\"']{8,512})'")
+NAMED = re.compile(r"(?i:(?<![A-Za-z0-9])(?:[a-z0-9]+[_-])*(?:" + "|".join(KEYWORDS) + r"))[\"']?\s{0,3}(?:=|:|=>)\s{0,3}$")
 FEATURES = "length digits upper hex symbols entropy transitions changes coverage sample keyword public quoted path format".split()
 SCHEMA = "doc_id long, start long, length long, rule string, score double, is_secret boolean"
 
@@ -86,16 +92,28 @@ def features(value: str, before: str, path: str, rule: str) -> list[float]:
 WORDS = {*DICTIONARY, *KEYWORDS, *SAMPLES}
 
 
-def candidates(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, rule) of everything that may be a secret. Long generic runs need a digit and a letter."""
-    for m in SCAN.finditer(text):
-        rule = m.lastgroup if m.lastgroup != "value" else "assigned"
-        start, end = m.span("value") if m["value"] is not None else m.span()
-        if rule == "generic":
-            value = m[0]
-            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-                continue
-        yield start, end, rule
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, rule) of everything that may be a secret, in order and without overlaps.
+
+    Published formats come before values assigned to a telling name, and these before long runs
+    with both a digit and a letter.
+    """
+    spans = []
+    for name, starts in STARTS.items():
+        if any(s in text for s in starts):
+            spans += [(m.start(), 0, m.end(), name) for m in FORMAT[name].finditer(text)]
+    if '"' in text or "'" in text:
+        for m in QUOTED.finditer(text):
+            if NAMED.search(text, max(0, m.start() - 48), m.start()):
+                spans.append((m.start() + 1, 1, m.end() - 1, "assigned"))
+    for m in RUN.finditer(text):
+        if GENERIC.fullmatch(m[0]) and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+            spans.append((m.start(), 2, m.end(), "generic"))
+    out: list[tuple[int, int, str]] = []
+    for start, _, end, rule in sorted(spans):
+        if not out or start >= out[-1][1]:
+            out.append((start, end, rule))
+    return out
 
 
 def labelled_findings(rows: int = 4000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
