@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 from factloom.llm.common import table
 
 #: Distinct matches whose ids a task keeps; more start the store anew.
-MATCHES_KEPT = 200_000
+MATCHES_KEPT = 500_000
 NONE = 1 << 62
+#: White space but single spaces and line ends, and white space after white space.
+ODD_SPACE = re.compile(r"[^\S \n]|\s\s")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,6 +80,19 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+class Words(dict):
+    """Ids of words with a space before them, encoded when first asked for."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(" " + word)
+        if len(word) < 64:
+            self[word] = ids
+        return ids
+
+
 class Codec:
     """Encodes texts to ids and decodes ids to bytes."""
 
@@ -89,16 +106,30 @@ class Codec:
         white = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.matches = regex.compile(white).findall
         self.known: dict[str, bytes] = {}
+        self.words = Words(self.encode_matches)
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
+        """The ids as little-endian 32-bit integers.
+
+        Where all white space of a text is single spaces and line ends, a match begins at every space,
+        so the words between spaces are encoded one by one, each distinct one once.
+        """
+        if ODD_SPACE.search(text):
+            return self.encode_matches(text)
+        first, *rest = text.split(" ")
+        words = self.words
+        if len(words) > MATCHES_KEPT:
+            words.clear()
+        return self.encode_matches(first) + b"".join([words[w] for w in rest])
+
+    def encode_matches(self, text: str) -> bytes:
         known, out = self.known, []
         for piece in self.matches(text):
             ids = known.get(piece)
             if ids is None:
                 if len(known) >= MATCHES_KEPT:
                     known.clear()
-                ids = np.array(merged(piece.encode(), self.ranks), dtype="<u4").tobytes()
+                ids = array("I", merged(piece.encode(), self.ranks)).tobytes()
                 if len(piece) < 64:
                     known[piece] = ids
             out.append(ids)
