@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import by_block, components, in_blocks, partitions, stacked, table, written
@@ -19,9 +19,10 @@ WORDS = 5  # in a k-mer
 LEAST = 0.8  # similarity of a link
 SKETCHES = 24
 TAKEN = 4  # k-mers in a sketch
-SLOTS = 128  # of the signature that weeds out candidates
+SLOTS = 256  # of the signature that weeds out candidates
 #: A pair at LEAST has an estimate below LEAST - SLACK with a chance of about one in 100,000.
-SLACK = 0.15
+SLACK = 0.11
+ROUNDS = 3  # of comparisons with one text of each bucket
 BLOCK = 1024
 WORDS_KEPT = 200_000
 WORD = re.compile(r"\w+")
@@ -88,7 +89,7 @@ def sketches(kmers: np.ndarray, m: int = SKETCHES, taken: int = TAKEN) -> np.nda
 def signature(kmers: np.ndarray, slots: int = SLOTS) -> bytes:
     """One byte for each of `slots` parts of the hash space: of the smallest k-mer in it, or the next part that has one."""
     v = np.sort(mixed(kmers ^ np.uint64(0x5851F42D4C957F2D)))
-    part = (v >> np.uint64(57)).astype(np.int64)
+    part = (v >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
     first = np.r_[True, part[1:] != part[:-1]]
     place, small = part[first], v[first]
     at = np.searchsorted(place, np.arange(slots))
@@ -176,11 +177,22 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
+def packed(longs: str) -> Column:
+    """An array of longs as bytes."""
+    return F.unhex(F.array_join(F.transform(longs, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+
+
+def labelled(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, rep, component) by the links found so far."""
+    parts = written(components(found), "components").withColumnRenamed("node", "rep")
+    return buckets.join(parts, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rep) of the documents with words, rep the smallest doc_id of the same words; and the links found between reps.
 
-    First every text of a bucket is held against the smallest doc_id in it, so that a large group
-    of near copies becomes one component from as many pairs as it has rows. Then texts of a bucket
+    First the texts of a bucket are held against one of them, ROUNDS times another, so that a large
+    group of near copies becomes one component from about as many pairs as it has rows. Then texts of a bucket
     in different components are compared by their signatures in blocks; only pairs that may reach
     LEAST leave the task and are aligned. No pair is left out for the size of a bucket.
     """
@@ -192,8 +204,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = written(reps.select("rep", "n", "signature", "keys"), "reps")
 
     single = reps.select("rep", F.explode("keys").alias("key"))
-    shared = single.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    buckets = written(single.join(shared.drop("size"), "key"), "buckets")
+    shared = single.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    buckets = written(single.join(shared, "key"), "buckets")
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.where("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = written(texts.join(involved, "doc_id", "left_semi"), "texts")
@@ -203,19 +215,28 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             if len(b):
                 yield b.loc[likely(b["sa"], b["sb"], b["na"], b["nb"]), ["a", "b"]]
 
-    stars = buckets.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    slim = lambda c, s, n: reps.select(F.col("rep").alias(c), F.col("signature").alias(s), F.col("n").alias(n))
-    stars = stars.join(slim("a", "sa", "na"), "a").join(slim("b", "sb", "nb"), "b")
-    first = written(verified(stars.mapInPandas(weed, "a long, b long"), texts), "links")
-    found = written(components(first), "components")
-
-    rows = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    rows = rows.select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    def slim(doc: str, sig: str, n: str) -> DataFrame:
+        return reps.select(F.col("rep").alias(doc), F.col("signature").alias(sig), F.col("n").alias(n))
+
+    first = spark.createDataFrame([], "a long, b long")
+    for k in range(ROUNDS):
+        rows = labelled(buckets, first)
+        pivot = F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(k)))
+        pivots = rows.groupBy("key").agg(pivot.alias("p"), F.count_distinct("component").alias("parts")).where("parts > 1")
+        stars = rows.join(pivots, "key").where("component <> p.component")
+        stars = stars.select(F.greatest("rep", "p.rep").alias("a"), F.least("rep", "p.rep").alias("b")).distinct()
+        stars = stars.join(slim("a", "sa", "na"), "a").join(slim("b", "sb", "nb"), "b")
+        new = verified(stars.mapInPandas(weed, "a long, b long"), texts)
+        first = written(first.unionByName(new), "links")
+
+    rows = labelled(buckets, first)
     mixed_up = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rows = rows.join(mixed_up, "key").join(reps.select("rep", "n", "signature"), "rep")
+    rows = rows.join(mixed_up, "key").join(reps.select("rep", "n", "signature", packed("keys").alias("keys")), "rep")
+    rows = rows.withColumn("bucket", F.col("key"))
 
     def prepare(frame: pd.DataFrame) -> dict[str, np.ndarray]:
-        return {c: frame[c].to_numpy() for c in ("rep", "n", "component")} | {"signature": stacked(frame["signature"], np.uint8)}
+        wide = {"signature": stacked(frame["signature"], np.uint8), "keys": stacked(frame["keys"], ">i8").astype(np.int64)}
+        return {c: frame[c].to_numpy() for c in ("rep", "n", "component", "bucket")} | wide
 
     def compare(block: dict[str, np.ndarray]) -> np.ndarray:
         rep, n, part, sig, side = (block[c] for c in ("rep", "n", "component", "signature", "side"))
@@ -227,6 +248,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             at = np.flatnonzero(may) + i + 1
             if len(at):
                 at = at[(sig[at] == sig[i]).mean(axis=1) >= LEAST - SLACK]
+                same = block["keys"][at] == block["keys"][i]  # a pair is told by the first bucket that it shares
+                at = at[block["keys"][i][same.argmax(axis=1)] == block["bucket"][0]]
                 out.append(np.stack([np.maximum(rep[at], rep[i]), np.minimum(rep[at], rep[i])], axis=1))
         return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
 
