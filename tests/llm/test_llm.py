@@ -1,0 +1,238 @@
+"""Operators against brute force, and their odd cases."""
+
+import base64
+import hashlib
+import random
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+
+from factloom.llm import bpe, embeddings, html_text, minhash, packing, quality, secrets, sharding, substrings, urls
+
+WORDS = [a + b for a in "ka lo mi ne pu ra so ti".split() for b in "ben dor fal gim hul jas kor".split()]
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+BASE = prose(1, 120)
+TEXTS = [BASE, BASE, BASE.replace(" ", " Zz ", 1), prose(2, 90) + " " + BASE[:200], None, "", "one two", prose(3, 3000), "é" * 70 + BASE[:80], "x" * 300]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "src", None, 7) for i, t in enumerate(TEXTS)] + [(None, "null id", "en", None, 1, 7), (0, BASE, "en", "src", None, 7)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, length int")
+
+
+def empty(df):
+    return df.limit(0)
+
+
+def test_packing(docs):
+    path = P.path("word_bpe_49k.json")
+    got = packing.pack(docs, path).collect()
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    want = Counter()
+    for r in docs.collect():
+        ids = tok.encode(r["text"] or "", add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), 4096):
+            part = ids[k : k + 4096]
+            want[r["doc_id"], k // 4096, k, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))] += 1
+    assert want == Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert packing.pack(empty(docs), path).count() == 0
+
+
+def test_plan_places_every_piece():
+    for seed in range(30):
+        r = random.Random(seed)
+        counts = {r.randint(1, 60): r.randint(1, 9) for _ in range(r.randint(1, 40))}
+        ranges, bins = packing.plan(counts, 60)
+        used, ranks = defaultdict(int), Counter()
+        for length, n in counts.items():
+            for rank in range(n):
+                rows = ranges[(ranges[:, 0] == length) & (ranges[:, 1] <= rank)]
+                used[rows[-1][2] + (rank - rows[-1][1]) // rows[-1][3]] += length
+                ranks[length] += 1
+        assert max(used.values()) <= 60 and sum(used.values()) == sum(k * v for k, v in counts.items()) and set(used) == set(range(bins))
+        alone = sum(n for length, n in counts.items() if 2 * length > 60)  # no two of these share a bin
+        assert bins <= max(alone, -(-sum(used.values()) // 60)) * 1.25 + 1
+
+
+def test_bpe_equals_the_library():
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    assert ranks[base64.b64decode("IQ==")] == ranks[b"!"]
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(ranks, P.PATTERN)
+    odd = ["", " ", "a  b", "a\n\nb", "x\x1cy", "don't stop\tnow ", "日本語 text ", "q" * 5000, "12 345", "é \U0001f600", " lead", "end "]
+    for text in [*odd, *(t for t in TEXTS if t)]:
+        ids = codec.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
+        assert codec.decode(ids) == text.encode()
+
+
+def test_bpe_rows(docs):
+    path = P.path("byte_bpe_50k.tiktoken")
+    assert bpe.digests(docs, path, P.PATTERN).count() == docs.count()
+    assert bpe.digests(empty(docs), path, P.PATTERN).count() == 0
+    back = bpe.decode_documents(bpe.encode_documents(docs, path, P.PATTERN), path, P.PATTERN).collect()
+    assert Counter((r.doc_id, bytes(r.data).decode()) for r in back) == Counter((r.doc_id, r.text or "") for r in docs.collect())
+
+
+def test_substrings(docs):
+    rows = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.removed(docs).collect()}
+    first = {}
+    for i, t in enumerate(TEXTS):
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    for i, t in enumerate(TEXTS):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(1 for k, g in enumerate(gone) if g and (not k or not gone[k - 1]))
+        assert (i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()) in rows
+    assert substrings.removed(docs).count() == docs.count()
+    assert substrings.removed(empty(docs)).count() == 0
+    assert substrings.without_repeats(docs).schema == docs.schema
+
+
+def test_minhash(docs):
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs).collect()}
+    assert got[1].class_id == got[2].class_id == 0 and not got[1].kept and not got[2].kept and got[0].kept
+    assert all(got[i].kept and got[i].class_id == i for i in (3, 4, 5, 6, 7, 8, 9)) and got[None].kept
+    assert minhash.near_duplicates(docs).count() == docs.count() and minhash.near_duplicates(empty(docs)).count() == 0
+    assert minhash.keep_one(docs).schema == docs.schema
+
+
+def test_embeddings(spark):
+    r = np.random.default_rng(1)
+    base = r.standard_normal((60, 16))
+    vectors = np.concatenate([base, base[:20] + 0.03 * r.standard_normal((20, 16)), base[:5], 3 * base[5:8]])
+    rows = [(i, v.astype(np.float32).tolist(), i % 2 if i < 60 else (i - 60) % 20 % 2, 1) for i, v in enumerate(vectors)]
+    rows += [(900, None, 1, 1), (901, [0.0] * 16, 1, 1), (902, [float("nan")] * 16, 0, 1), (903, rows[0][1], None, 1), (904, [], 0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, rep int")
+    got = {x.vec_id: x for x in embeddings.near_duplicates(df).collect()}
+    x = {i: np.array(v) for i, v, lab, _ in rows if i < 900}
+    label = {i: lab for i, _, lab, _ in rows}
+    links = defaultdict(set)
+    for a in x:
+        for b in x:
+            if a != b and label[a] == label[b] and x[a] @ x[b] / np.linalg.norm(x[a]) / np.linalg.norm(x[b]) >= 0.98:
+                links[a].add(b)
+    for i in got:
+        seen, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(links[i]), min(seen), min(seen) == i)
+    assert embeddings.near_duplicates(empty(df)).count() == 0
+
+
+def test_sharding(docs):
+    rows = sharding.shard(docs, 3).collect()
+    counts = Counter(r.shard for r in rows)
+    assert max(counts.values()) - min(counts.values()) <= 1 and len(rows) == docs.count()
+    for s in counts:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(counts[s]))
+    assert sorted(map(str, rows)) == sorted(map(str, sharding.shard(docs.repartition(5), 3).collect()))
+    assert sharding.shard(empty(docs)).count() == 0
+
+
+def test_permutation(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 3, 10, 97, 1000):
+        got = spark.range(n).select(sharding.permuted(F.col("id"), F.lit(n).cast("long")).alias("x")).collect()
+        assert sorted(r["x"] for r in got) == list(range(n))
+
+
+def test_html(spark):
+    page = (
+        "<html><head><title>T</title></head><body><nav><a>Menu</a></nav><div class='cookie-notice'>Accept</div><article><h1>A &amp; B</h1>"
+        "<p>One <b>two</b>\n three<p>Four<script>x='</p>'</script><ul><li>Five</ul><aside>Side</aside><div id=comments>Hi</div></article>"
+        "<form>Search<button>Go</button></form><footer>Foot</footer>"
+    )
+    rows = [(1, "http://a.org/x", page, 1), (2, "http://a.org/y", "", 1), (3, None, None, 1), (4, "http://b.org", "plain <p>text", 1), (1, "http://a.org/x", page, 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
+    got = [(r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()]
+    text = "A & B\n\nOne two three\n\nFour\n\nFive"
+    assert sorted(got) == [(1, text, len(text)), (1, text, len(text)), (2, "", 0), (3, "", 0), (4, "plain\n\ntext", 11)]
+    assert html_text.extract(empty(df)).count() == 0
+    assert html_text.aligned(["a", "b", "c"], ["a", "c", "d"]) == ["a", "?b", "c", "?d"]
+    assert html_text.squared(["a", "b", "a", "b", "c"]) == ["a", "b", "c"]
+
+
+def test_quality(docs):
+    rows = {r.doc_id: r for r in quality.judged(docs).collect()}
+    assert rows[0].kept and rows[5].base_failed and rows[4].n_words == 0 and not rows[6].kept
+    assert quality.judged(docs).count() == docs.count() and quality.judged(empty(docs)).count() == 0
+    kept = Counter(r.doc_id for r in quality.judged(docs).where("kept").collect())
+    assert kept == Counter(r.doc_id for r in quality.keep_good(docs).collect())
+
+
+def test_urls(spark):
+    rows = [(i, f"https://s{i}.example.com/{'en' if i % 2 else 'de'}/{i}", 1) for i in range(60)]
+    rows += [(100, None, 1), (101, "no scheme", 1), (102, "HTTP://WWW.Example.com/en/x?y", 1), (103, "http://x.net/es/", 1), (104, "http://y.org/es/1#z", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host int")
+    got = {r.page_id: r for r in urls.filtered(df).collect()}
+    assert (got[102].host, got[102].path, got[102].rule, got[102].verdict) == ("www.example.com", "/en/x", "www.example.com/en/", "allow")
+    assert (got[1].rule, got[1].verdict) == ("example.com/en/", "block") and (got[2].rule, got[2].verdict) == ("com/", "allow")
+    assert (got[100].host, got[101].path, got[100].rule) == ("", "", None) and got[103].verdict == "block" and got[104].verdict in ("allow", "block")
+    assert urls.filtered(empty(df)).count() == 0
+
+
+def test_url_models_hold_out():
+    r = random.Random(5)
+    make = lambda good: f"{'docs' if good else 'promo'}{r.randint(1, 99)}.org/{'guide' if good else 'win-cash'}/{r.randint(1, 9999)}"
+    data = [(make(g), "allow" if g else "block") for g in (r.random() < 0.5 for _ in range(600))]
+    judge = urls.Filter(data[:400])
+    assert sum(judge.verdict(t) == v for t, v in data[400:]) >= 195
+
+
+def test_secrets(docs, spark):
+    x, y = secrets.labelled_findings(3000, seed=99)
+    forest = secrets.Forest(*secrets.labelled_findings())
+    got = np.array([forest.score(row) >= 0.5 for row in x.tolist()])
+    assert (got == y).mean() >= 0.95
+    text = 'see token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and commit 9b0b3c6a43eb78aa99cbd7049c572391524f37a8 end'
+    df = spark.createDataFrame([(1, text, "src0"), (2, None, None), (3, "", None), (4, prose(1, 50), None)], "doc_id long, text string, source string")
+    rows = secrets.scan(df).collect()
+    assert [(r.doc_id, text[r.start : r.start + r.length]) for r in rows if r.is_secret] == [(1, "04dbebab91ab85687d33eeaaf9ac699e1188f962")]
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert "<SECRET>" in out[1] and "04dbebab" not in out[1] and out[2] is None and out[3] == ""
+    assert secrets.scan(empty(docs)).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    clean = [(i, prose(100 + i, 60), "en", "s", 1) for i in range(12)]
+    bad = [(50, "too short", "en", "s", 1), (51, None, "en", "s", 1), (52, clean[0][1], "en", "s", 1), (53, clean[1][1] + " extra", "en", "s", 1)]
+    spark.createDataFrame(clean + bad, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(range(12))
