@@ -29,12 +29,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: df as a table in the shared folder, read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df  # what made the table is done with, so Spark's cleaner may drop its shuffle files
-    gc.collect()
+    gc.collect()  # what made earlier tables is done with, so Spark's cleaner may drop its shuffle files
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def kept(df: DataFrame) -> DataFrame:
