@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: df as a table in the shared folder, read again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    gc.collect()  # what made earlier tables is done with, so Spark's cleaner may drop its shuffle files
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what made earlier tables is done with, so Spark's cleaner may drop its shuffle files
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
