@@ -308,7 +308,7 @@ def covered(data: bytes, text: Text, whole: np.ndarray | None, single: np.ndarra
 def with_spans(docs: DataFrame, build: Callable, schema: str) -> DataFrame:
     """build(frame, texts as bytes, spans) for groups of rows of docs, in all columns of docs."""
     spark = docs.sparkSession
-    groups, buckets = next_prime(2 * partitions(spark)), 2 * partitions(spark)
+    groups, buckets = next_prime(partitions(spark)), 2 * partitions(spark)
     doc, group = free_name(docs, "doc", "grp")
     places = written(settled(sampled(docs, groups, buckets), groups), "places")
     windows = written(compared(docs, places, groups, buckets), "windows")
