@@ -63,20 +63,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b): the smallest node reachable.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join that Spark can
-    split, until the links stay as they are. Every step is checkpointed. Null ends link nothing.
+    split, until every link is one of a star. Every step is checkpointed. Null ends link nothing.
     """
-    spark = edges.sparkSession
     edges = kept(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .where("a IS NOT NULL AND b IS NOT NULL AND a > b")
         .distinct()
     )
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def stars(e: DataFrame) -> bool:
+        """Whether each larger end has one link and is the smaller end of none."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(e.select("b", F.lit(0)))
+        each = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("n"))
+        return each.where("ups > 0 AND n > 1").isEmpty()
 
-    before = state(edges)
-    while before[0]:
+    while not stars(edges):
         # large star: every neighbour above a node links to the smallest of its neighbourhood
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -91,13 +92,8 @@ def components(edges: DataFrame) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    nodes = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return nodes.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
 def in_blocks(rows: DataFrame, key: str, number: str, most: int) -> DataFrame:

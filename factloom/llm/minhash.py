@@ -182,14 +182,49 @@ def packed(longs: str) -> Column:
     return F.unhex(F.array_join(F.transform(longs, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def labelled(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, rep, component) by the links found so far."""
-    parts = written(components(found), "components").withColumnRenamed("node", "rep")
+def labelled(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(key, rep, component) by the parts found so far."""
+    if parts is None:
+        return buckets.select("key", "rep", F.col("rep").alias("component"))
     return buckets.join(parts, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
 
 
+def merged(parts: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(rep, component) of all linked texts after further links: only the components that these join are walked again."""
+    if parts is None:
+        return written(components(new).withColumnRenamed("node", "rep"), "components")
+    ends = new
+    for end in ("a", "b"):
+        known = parts.select(F.col("rep").alias(end), F.col("component").alias("c" + end))
+        ends = ends.join(known, end, "left").withColumn("c" + end, F.coalesce("c" + end, end))
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    renamed = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    old = parts.join(renamed, "component", "left").select("rep", F.coalesce("now", "component").alias("component"))
+    fresh = joined.withColumnRenamed("node", "rep").join(parts.select("rep"), "rep", "left_anti")
+    return written(old.unionByName(fresh), "components")
+
+
+def across(rows: DataFrame, most: int) -> DataFrame:
+    """Deals the rows of each key into blocks in which its largest component meets all others.
+
+    Both sides are cut into chunks of about `most` rows, and a row goes to one block for each chunk of
+    the other side. The pairs within the largest component are linked already, so a bucket that one
+    component fills takes room in proportion to its rows. Columns as those of in_blocks.
+    """
+    top = F.col("component") == F.col("top")
+    mine = F.ceil(F.when(top, F.col("tops")).otherwise(F.col("total") - F.col("tops")) / most).cast("int")
+    theirs = F.ceil(F.when(top, F.col("total") - F.col("tops")).otherwise(F.col("tops")) / most).cast("int")
+    rows = rows.select(
+        "key", "rep", "component", F.col("key").alias("bucket"), top.cast("int").alias("side"), F.pmod(F.xxhash64("rep"), mine).cast("int").alias("chunk"),
+        F.explode(F.sequence(F.lit(0), theirs - 1)).alias("other"),
+    )
+    at = F.when(F.col("side") == 1, F.struct("chunk", "other")).otherwise(F.struct(F.col("other").alias("chunk"), F.col("chunk").alias("other")))
+    block = F.xxhash64("key", F.lit("across"), at)
+    return rows.select("rep", "component", "bucket", block.alias("block"), "side", F.lit(False).alias("alone"))
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep) of the documents with words, rep the smallest doc_id of the same words; and the links found between reps.
+    """(doc_id, rep) of the documents with words, rep the smallest doc_id of the same words; and (rep, component) of the reps with links.
 
     First the texts of a bucket are held against one of them, ROUNDS times another, so that a large
     group of near copies becomes one component from about as many pairs as it has rows. Then texts of a bucket
@@ -218,21 +253,24 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def slim(doc: str, sig: str, n: str) -> DataFrame:
         return reps.select(F.col("rep").alias(doc), F.col("signature").alias(sig), F.col("n").alias(n))
 
-    first = spark.createDataFrame([], "a long, b long")
+    first, parts = spark.createDataFrame([], "a long, b long"), None
     for k in range(ROUNDS):
-        rows = labelled(buckets, first)
+        rows = labelled(buckets, parts)
         pivot = F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(k)))
         pivots = rows.groupBy("key").agg(pivot.alias("p"), F.count_distinct("component").alias("parts")).where("parts > 1")
         stars = rows.join(pivots, "key").where("component <> p.component")
         stars = stars.select(F.greatest("rep", "p.rep").alias("a"), F.least("rep", "p.rep").alias("b")).distinct()
         stars = stars.join(slim("a", "sa", "na"), "a").join(slim("b", "sb", "nb"), "b")
-        new = verified(stars.mapInPandas(weed, "a long, b long"), texts)
-        first = written(first.unionByName(new), "links")
+        new = written(verified(stars.mapInPandas(weed, "a long, b long"), texts), "links")
+        first, parts = first.unionByName(new), merged(parts, new)
 
-    rows = labelled(buckets, first)
-    mixed_up = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rows = rows.join(mixed_up, "key").join(reps.select("rep", "n", "signature", packed("keys").alias("keys")), "rep")
-    rows = rows.withColumn("bucket", F.col("key"))
+    rows = labelled(buckets, parts)
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(
+        F.max_by("component", F.struct("size", "component")).alias("top"), F.max("size").alias("tops"),
+        F.sum("size").alias("total"), F.count("*").alias("parts"),
+    )
+    rows = written(rows.join(sizes.where("parts > 1"), "key"), "open")
+    full = reps.select("rep", "n", "signature", packed("keys").alias("keys"))
 
     def prepare(frame: pd.DataFrame) -> dict[str, np.ndarray]:
         wide = {"signature": stacked(frame["signature"], np.uint8), "keys": stacked(frame["keys"], ">i8").astype(np.int64)}
@@ -253,10 +291,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 out.append(np.stack([np.maximum(rep[at], rep[i]), np.minimum(rep[at], rep[i])], axis=1))
         return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
 
-    dealt = in_blocks(rows, "key", "rep", BLOCK)
-    more = by_block(dealt, prepare, compare, 8 * partitions(spark))
+    rest = rows.where("component <> top AND parts > 2").select("key", "rep", "component", F.col("key").alias("bucket"))
+    slim_blocks = across(rows, BLOCK).unionByName(in_blocks(rest, "key", "rep", BLOCK))
+    more = by_block(slim_blocks.join(full, "rep"), prepare, compare, 8 * partitions(spark))
     second = written(verified(more.join(first, ["a", "b"], "left_anti"), texts), "links")
-    return members, first.unionByName(second)
+    return members, merged(parts, second)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -269,8 +308,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nothing; a null doc_id has null class and is kept; repeated rows of one doc_id share a class; an
     empty table gives no rows; further columns are left aside.
     """
-    members, found = links(docs)
-    classes = components(found).withColumnRenamed("node", "rep")
+    members, classes = links(docs)
     named = members.distinct().join(classes, "rep", "left").select(
         "doc_id", F.col("rep").alias("words_id"), F.coalesce("component", "rep").alias("class_id")
     )
