@@ -20,8 +20,6 @@ LEAST = 0.8  # similarity of a link
 SKETCHES = 24
 TAKEN = 4  # k-mers in a sketch
 SLOTS = 256  # of the signature that weeds out candidates
-#: A pair at LEAST has an estimate below LEAST - SLACK with a chance of about one in 100,000.
-SLACK = 0.11
 ROUNDS = 3  # of comparisons with one text of each bucket
 BLOCK = 1024
 WORDS_KEPT = 200_000
@@ -87,16 +85,21 @@ def sketches(kmers: np.ndarray, m: int = SKETCHES, taken: int = TAKEN) -> np.nda
 
 
 def signature(kmers: np.ndarray, slots: int = SLOTS) -> bytes:
-    """One byte for each of `slots` parts of the hash space: of the smallest k-mer in it, or the next part that has one."""
-    v = np.sort(mixed(kmers ^ np.uint64(0x5851F42D4C957F2D)))
-    part = (v >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
-    first = np.r_[True, part[1:] != part[:-1]]
-    place, small = part[first], v[first]
-    at = np.searchsorted(place, np.arange(slots))
-    far = at == len(place)
-    at = np.where(far, 0, at)
-    distance = np.where(far, place[0] + slots, place[at]) - np.arange(slots)
-    return mixed(small[at] + distance.astype(np.uint64) * MIX).astype(np.uint8).tobytes()
+    """One byte for each of `slots` parts of the hash space: the number of k-mers in it, 255 where there are more."""
+    part = (mixed(kmers ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(part, minlength=slots), 255).astype(np.uint8).tobytes()
+
+
+def within(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """Whether lengths and signatures let pairs reach `least`; true for every pair that does.
+
+    Each k-mer of one text only moves one count by one, so the counts of two texts differ by no more
+    than the k-mers that the two do not share, at any length.
+    """
+    total = np.asarray(nx, dtype=np.int64) + ny
+    apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+    need = np.ceil(least * total / (1 + least) - 1e-9)
+    return (apart <= total - 2 * need) & (np.minimum(nx, ny) >= need)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
@@ -149,8 +152,7 @@ def likely(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> np.ndarr
     """Whether lengths and signatures let a pair reach LEAST."""
     x = np.frombuffer(b"".join(a), dtype=np.uint8).reshape(-1, SLOTS)
     y = np.frombuffer(b"".join(b), dtype=np.uint8).reshape(-1, SLOTS)
-    short, long = np.minimum(na, nb), np.maximum(na, nb)
-    return ((x == y).mean(axis=1) >= LEAST - SLACK) & (short >= LEAST * long - 1e-9).to_numpy()
+    return within(x, y, na.to_numpy(), nb.to_numpy())
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -285,7 +287,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 may &= side[i + 1 :] != side[i]
             at = np.flatnonzero(may) + i + 1
             if len(at):
-                at = at[(sig[at] == sig[i]).mean(axis=1) >= LEAST - SLACK]
+                at = at[within(sig[at], sig[i], n[at], n[i])]
                 same = block["keys"][at] == block["keys"][i]  # a pair is told by the first bucket that it shares
                 at = at[block["keys"][i][same.argmax(axis=1)] == block["bucket"][0]]
                 out.append(np.stack([np.maximum(rep[at], rep[i]), np.minimum(rep[at], rep[i])], axis=1))

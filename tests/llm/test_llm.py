@@ -128,6 +128,60 @@ def test_minhash(docs):
     assert minhash.keep_one(docs).schema == docs.schema
 
 
+def near_pairs(seed, n):
+    """Texts of 20 to 100 words, each with a copy of which words are changed, added or left out: pairs about 0.8."""
+    r = random.Random(seed)
+    for k in range(n):
+        words = prose(seed * 100_000 + k, r.randint(20, 100)).split()
+        other = words[:]
+        for _ in range(max(1, len(words) // 45)):
+            at = r.randrange(len(other))
+            other[at : at + r.randint(0, 1)] = r.choice([[], ["zz"], ["zz", "yy"]])
+        yield " ".join(words), " ".join(other)
+
+
+def plain_similarity(a, b):
+    def kmers(text):
+        words, seen = text.split(), Counter()
+        for k in range(max(1, len(words) - 4)):
+            gram = tuple(words[k : k + 5])
+            seen[gram] += 1
+            yield gram, seen[gram]
+
+    x, y = list(kmers(a)), list(kmers(b))
+    row = [0] * (len(y) + 1)
+    for p in x:
+        new = [0]
+        for j, q in enumerate(y):
+            new.append(row[j] + 1 if p == q else max(row[j + 1], new[j]))
+        row = new
+    return row[-1] / (len(x) + len(y) - row[-1])
+
+
+def test_minhash_weed_keeps_every_pair():
+    kmers, near = minhash.Kmers(), 0
+    for s, t in near_pairs(1, 4000):
+        if 0.8 - 1e-9 <= plain_similarity(s, t) < 0.85:
+            x, y = (kmers.of(kmers.words(v)) for v in (s, t))
+            sig = [np.array([minhash.signature(v)], dtype=object) for v in (x, y)]
+            assert minhash.likely(*sig, *(minhash.pd.Series([len(v)]) for v in (x, y))).all()
+            near += 1
+    assert near > 300
+
+
+def test_minhash_equals_all_pairs(spark):
+    texts = [t for pair in near_pairs(2, 200) for t in pair]
+    grams = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(grams[a] & grams[b]) > 3 and plain_similarity(texts[a], texts[b]) >= 0.8 - 1e-9 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()} == dict(enumerate(root))
+
+
 def test_embeddings(spark):
     r = np.random.default_rng(1)
     base = r.standard_normal((60, 16))
