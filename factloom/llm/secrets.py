@@ -40,7 +40,8 @@ FORMATS = {
     "stripe_key": r"\b[sr]k_live_[0-9A-Za-z]{16,}\b",
     "google_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "jwt": r"\beyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}",
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[rn])+(?:[A-Z][\w-]*: [^\n]*|[0-9A-Za-z+/=]{16,}))+(?:(?:\s|\\[rn])+[0-9A-Za-z+/=]+(?=\s*\Z))?)",
 }
 #: What a text must hold, as it stands, for a format to be looked for.
 STARTS = {
@@ -48,10 +49,12 @@ STARTS = {
     "stripe_key": ("k_live_",), "google_key": ("AIza",), "jwt": ("eyJ",), "private_key": ("-----BEGIN",),
 }
 FORMAT = {name: re.compile(pattern) for name, pattern in FORMATS.items()}
-RUN = re.compile(r"[0-9A-Za-z+/=_\-]{16,}")
-GENERIC = re.compile(r"[0-9A-Za-z+/_\-]{16,512}={0,2}")
-QUOTED = re.compile(r"\"([^\s\"']{8,512})\"|'([^\s\"']{8,512})'")
+RUN = re.compile(r"[0-9A-Za-z+/_\-]{16,}={0,2}")
+QUOTED = re.compile(r"\"([^\s\"']{8,})\"|'([^\s\"']{8,})'")
 NAMED = re.compile(r"(?i:(?<![A-Za-z0-9])(?:[a-z0-9]+[_-])*(?:" + "|".join(KEYWORDS) + r"))[\"']?\s{0,3}(?:=|:|=>)\s{0,3}$")
+#: A value without quotes after a sign of assignment, as in .env files, shells, YAML and query strings.
+BARE = re.compile(r"[^\s\"'`=:>,;&<(){}\[\]][^\s\"'`,;&<>(){}\[\]]{7,}")
+SIGN = re.compile(r"(?:=>|[=:])[ \t]{0,3}")
 FEATURES = "length digits upper hex symbols entropy transitions changes coverage sample keyword public quoted path format".split()
 SCHEMA = "doc_id long, start long, length long, rule string, score double, is_secret boolean"
 
@@ -96,23 +99,41 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, rule) of everything that may be a secret, in order and without overlaps.
 
     Published formats come before values assigned to a telling name, and these before long runs
-    with both a digit and a letter.
+    with both a digit and a letter. A run that a span of a higher rank cuts is looked at on both sides of it.
     """
-    spans = []
+    ranks: list[list[tuple[int, int, str]]] = [[], [], []]
     for name, starts in STARTS.items():
         if any(s in text for s in starts):
-            spans += [(m.start(), 0, m.end(), name) for m in FORMAT[name].finditer(text)]
+            ranks[0] += [(m.start(), m.end(), name) for m in FORMAT[name].finditer(text)]
     if '"' in text or "'" in text:
         for m in QUOTED.finditer(text):
             if NAMED.search(text, max(0, m.start() - 48), m.start()):
-                spans.append((m.start() + 1, 1, m.end() - 1, "assigned"))
-    for m in RUN.finditer(text):
-        if GENERIC.fullmatch(m[0]) and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
-            spans.append((m.start(), 2, m.end(), "generic"))
+                ranks[1].append((m.start() + 1, m.end() - 1, "assigned"))
+    if "=" in text or ":" in text:
+        at = 0
+        for m in SIGN.finditer(text):
+            if m.end() >= at and NAMED.search(text, max(0, m.end() - 48), m.end()) and (value := BARE.match(text, m.end())):
+                ranks[1].append((value.start(), at := value.end(), "assigned"))
+    ranks[2] = [(m.start(), m.end(), "generic") for m in RUN.finditer(text)]
     out: list[tuple[int, int, str]] = []
-    for start, _, end, rule in sorted(spans):
-        if not out or start >= out[-1][1]:
-            out.append((start, end, rule))
+    for spans in ranks:
+        taken, i, new = out, 0, []
+        for start, end, rule in sorted(spans):
+            while i < len(taken) and taken[i][1] <= start:
+                i += 1
+            if rule != "generic":
+                if (i == len(taken) or taken[i][0] >= end) and (not new or start >= new[-1][1]):
+                    new.append((start, end, rule))
+                continue
+            k = i
+            while start < end:
+                stop = min(end, taken[k][0]) if k < len(taken) else end
+                value = text[start:stop]
+                if stop - start >= 16 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+                    new.append((start, stop, rule))
+                start = taken[k][1] if stop < end else end
+                k += 1
+        out = sorted(taken + new)
     return out
 
 
