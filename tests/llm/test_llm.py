@@ -241,6 +241,17 @@ def test_html(spark):
     assert html_text.squared(["a", "b", "a", "b", "c"]) == ["a", "b", "c"]
 
 
+def test_html_mixed_templates(spark):
+    pages = [
+        "<html class='no-cookies'><body class='has-sidebar'><article><p>One</article><p>Side text",
+        "<html><body><nav>Menu</nav><div id=content><p>Two</div>",
+        "<html><body><nav>Menu</nav><main><p>Three</main><p>Side text",
+        "<html><body><p>Four<div class=sidebar>Gone</div>",
+    ]
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {0: "One", 1: "Two", 2: "Three", 3: "Four"}
+
+
 def test_quality(docs):
     rows = {r.doc_id: r for r in quality.judged(docs).collect()}
     assert rows[0].kept and rows[5].base_failed and rows[4].n_words == 0 and not rows[6].kept
