@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -279,6 +280,25 @@ def test_url_models_hold_out():
     assert sum(judge.verdict(t) == v for t, v in data[400:]) >= 195
 
 
+def test_url_models_learn_from_every_ruled_url(spark):
+    r = random.Random(8)
+    ruled = [(f"http://a{k}.com/{r.choice(['guide', 'docs'])}/{k}", "allow") for k in range(7000)]
+    ruled += [(f"http://b{k}.net/es/{r.choice(['win', 'cash'])}/{k}", "block") for k in range(3)]
+    asked = [f"http://{r.choice(['win', 'cash', 'docs', 'guide'])}{k}.org/{r.choice(['es/win', 'guide'])}/{k}" for k in range(40)]
+    df = spark.createDataFrame(list(enumerate([u for u, _ in ruled] + asked)), "page_id long, url string")
+    got = {x.page_id: x for x in urls.filtered(df).collect()}
+    assert len(got) == len(ruled) + len(asked)
+    texts = spark.createDataFrame([(u.partition("://")[2], v) for u, v in ruled], "text string, says string")
+    models, held = {"allow": urls.Markov(), "block": urls.Markov()}, []
+    for x in urls.divided(texts).collect():
+        held.append((x.text, x.says)) if x.held else models[x.says].add(x.text)
+    assert {v for _, v in held} == {"allow", "block"} and models["allow"].total[""] > 5 * 5000
+    score = lambda t: math.floor((models["allow"].likelihood(t) - models["block"].likelihood(t)) * urls.STEPS) / urls.STEPS
+    least = urls.calibrated([(score(t), v == "allow") for t, v in held])
+    want = ["allow" if score(u.partition("://")[2]) >= least else "block" for u in asked]
+    assert [got[len(ruled) + k].verdict for k in range(len(asked))] == want and set(want) == {"allow", "block"}
+
+
 def test_secrets(docs, spark):
     x, y = secrets.labelled_findings(3000, seed=99)
     forest = secrets.Forest(*secrets.labelled_findings())
