@@ -43,7 +43,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Alignment, the forest and the packing cannot be told in SQL; tests hold run() against brute force.
+#: Alignment, the forest and the packing cannot be told in SQL. Tests hold the stages one by one, op4 against all pairs;
+#: of run() they check which doc_ids stay.
 ORACLE_SQL = None
 
 
