@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import by_block, components, in_blocks, partitions, stacked, table, written
+from factloom.llm.common import by_block, components, free_name, in_blocks, partitions, stacked, table, written
 
 WORDS = 5  # in a k-mer
 LEAST = 0.8  # similarity of a link
-SKETCHES = 24
-TAKEN = 4  # k-mers in a sketch
+SKETCHES = 32
+TAKEN = 2  # k-mers in a sketch
+#: Texts of more k-mers have their sketches from as many parts of one hash space; shorter ones from as many hash functions.
+LONG = 256
+#: Texts of at most so many words have sketches of single words too, as one edit may touch all their k-mers.
+SHORT = 48
 SLOTS = 256  # of the signature that weeds out candidates
 ROUNDS = 3  # of comparisons with one text of each bucket
 BLOCK = 1024
@@ -33,115 +36,165 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Kmers:
-    """The occurrence-labelled k-mers of a text in text order, as 64-bit hashes, all different."""
-
-    def __init__(self, k: int = WORDS) -> None:
-        self.k, self.known = k, {}
+class Words(dict):
+    """64-bit hashes of words, made when first asked for."""
 
-    def words(self, text: str) -> list[str]:
-        return WORD.findall(text.lower())
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
 
     def of(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-        h = np.array([known[w] for w in words], dtype=np.uint64)
-        n = max(1, len(h) - self.k + 1)
-        out = np.zeros(n, dtype=np.uint64)
-        for i in range(min(self.k, len(h))):
-            out = mixed(out * MIX + h[i : i + n])
-        order = np.argsort(out, kind="stable")
-        v = out[order]
-        same = v[1:] == v[:-1]
-        if same.any():
-            first = np.flatnonzero(np.r_[True, ~same])
-            label = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
-            occurrence = np.empty(n, dtype=np.uint64)
-            occurrence[order] = label.astype(np.uint64)
-            out = np.where(occurrence > 0, mixed(out + MIX * occurrence), out)
-        return out
-
-
-def sketches(kmers: np.ndarray, m: int = SKETCHES, taken: int = TAKEN) -> np.ndarray:
+        if len(self) > WORDS_KEPT:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def kmers(words: np.ndarray, k: int = WORDS) -> np.ndarray:
+    """The occurrence-labelled k-mers of a text in text order, as 64-bit hashes, all different."""
+    n = max(1, len(words) - k + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for i in range(min(k, len(words))):
+        out = mixed(out * MIX + words[i : i + n])
+    order = np.argsort(out, kind="stable")
+    v = out[order]
+    same = v[1:] == v[:-1]
+    if same.any():
+        first = np.flatnonzero(np.r_[True, ~same])
+        label = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
+        occurrence = np.empty(n, dtype=np.uint64)
+        occurrence[order] = label.astype(np.uint64)
+        out = np.where(occurrence > 0, mixed(out + MIX * occurrence), out)
+    return out
+
+
+def by_functions(found: np.ndarray, salt: int, m: int = SKETCHES, taken: int = TAKEN) -> np.ndarray:
     """For each of m hash functions the smallest k-mers, put back in text order, as one number."""
-    seeds = MIX * np.arange(1, m + 1, dtype=np.uint64)
-    each = m if len(kmers) < 50_000 else 1
-    out = np.arange(m, dtype=np.uint64)
-    for j in range(0, m, each):
-        v = mixed(kmers[None, :] ^ seeds[j : j + each, None])
-        if len(kmers) > taken:
-            at = np.sort(np.argpartition(v, taken - 1, axis=1)[:, :taken], axis=1)
-        else:
-            at = np.broadcast_to(np.arange(len(kmers)), (len(v), len(kmers)))
-        key = out[j : j + each]
-        for c in range(at.shape[1]):
-            key = mixed(key * MIX + kmers[at[:, c]])
-        out[j : j + each] = key
-    return out.astype(np.int64)
-
-
-def signature(kmers: np.ndarray, slots: int = SLOTS) -> bytes:
-    """One byte for each of `slots` parts of the hash space: the number of k-mers in it, 255 where there are more."""
-    part = (mixed(kmers ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
+    v = mixed(found[None, :] ^ (MIX * np.arange(salt + 1, salt + m + 1, dtype=np.uint64))[:, None])
+    if len(found) > taken:
+        at = np.sort(np.argpartition(v, taken - 1, axis=1)[:, :taken], axis=1)
+    else:
+        at = np.broadcast_to(np.arange(len(found)), (m, len(found)))
+    key = np.arange(salt, salt + m, dtype=np.uint64)
+    for c in range(at.shape[1]):
+        key = mixed(key * MIX + found[at[:, c]])
+    return key.astype(np.int64)
+
+
+def by_parts(found: np.ndarray, salt: int, m: int = SKETCHES, taken: int = TAKEN) -> np.ndarray:
+    """As by_functions, from one hash function: sketch j has the smallest k-mers of part j of its values; 0 where a part has too few."""
+    v = mixed(found ^ np.uint64(int(MIX) * (salt + 1) % 2**64))
+    order = np.argsort(v)
+    edges = np.arange(m, dtype=np.uint64) * np.uint64((1 << 64) // m)
+    first = np.searchsorted(v[order], edges)
+    enough = np.r_[first[1:], len(v)] - first >= taken
+    at = np.sort(order[np.minimum(first[:, None] + np.arange(taken), len(v) - 1)], axis=1)
+    key = np.arange(salt, salt + m, dtype=np.uint64)
+    for c in range(taken):
+        key = mixed(key * MIX + found[at[:, c]])
+    return np.where(enough, key, np.uint64(0)).astype(np.int64)
+
+
+def sketches(words: np.ndarray) -> np.ndarray:
+    """The sketches of a text: SKETCHES by functions, by parts, and of single words; 0 where a kind does not apply.
+
+    Texts that may be similar have a kind in common: lengths differ by a fifth at most, and texts of
+    a length between the bounds have both kinds.
+    """
+    found = kmers(words)
+    none = np.zeros(SKETCHES, dtype=np.int64)
+    return np.concatenate([
+        by_functions(found, 0) if len(found) <= LONG else none,
+        by_parts(found, 1000) if len(found) > LEAST * LONG - WORDS else none,
+        by_functions(kmers(words, 1), 2000) if len(words) <= SHORT else none,
+    ])
+
+
+def signature(words: np.ndarray, slots: int = SLOTS) -> bytes:
+    """One byte for each of `slots` parts of the hash space: the number of words in it, 255 where there are more."""
+    part = (mixed(words ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - slots.bit_length() + 1)).astype(np.int64)
     return np.minimum(np.bincount(part, minlength=slots), 255).astype(np.uint8).tobytes()
 
 
+def allowed(longest, least: float = LEAST):
+    """How many edits a pair may be apart, by the words of its longer text."""
+    return np.floor((1 - least) * np.asarray(longest) + 1e-9).astype(np.int64)
+
+
 def within(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: float = LEAST) -> np.ndarray:
     """Whether lengths and signatures let pairs reach `least`; true for every pair that does.
 
-    Each k-mer of one text only moves one count by one, so the counts of two texts differ by no more
-    than the k-mers that the two do not share, at any length.
+    A word replaced moves two counts by one, a word put in or left out one count, so the counts of
+    two texts differ by no more than twice the edits less the difference of the lengths.
     """
-    total = np.asarray(nx, dtype=np.int64) + ny
+    nx, ny = np.asarray(nx, dtype=np.int64), np.asarray(ny, dtype=np.int64)
     apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
-    need = np.ceil(least * total / (1 + least) - 1e-9)
-    return (apart <= total - 2 * need) & (np.minimum(nx, ny) >= need)
+    most, gap = allowed(np.maximum(nx, ny), least), np.abs(nx - ny)
+    return (gap <= most) & (apart <= 2 * most - gap)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
-    """Aligned k-mers over all k-mers of both texts: L / (len(a) + len(b) - L), or 0 where it is below `least`.
+def edits(x: list, y: list, most: int) -> int:
+    """How many words must be put in, left out or replaced to make y of x, or most + 1 where that is more than `most`.
 
-    L is the longest run of common k-mers in the same order. As k-mers are labelled, each has one
-    partner at most, and L is the longest increasing subsequence of the partners' places. Partners
-    further apart than the edits that `least` allows are outside the band and left aside.
+    The alignment looks only at a band of `most` places on both sides of the diagonal. A column of the
+    band is kept as bits: where its value rises and where it falls towards the next row. So a column
+    costs a few operations on whole numbers of 2 * most + 1 bits.
     """
-    total = len(a) + len(b)
-    need = math.ceil(least * total / (1 + least) - 1e-9)
-    if min(len(a), len(b)) < need:
-        return 0.0
-    _, at, to = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(at) < need:
-        return 0.0
-    order = np.argsort(at)
-    at, to = at[order], to[order]
-    near = np.abs(at - to) <= total - 2 * need
-    tails: list[int] = []
-    for x in to[near].tolist():
-        if not tails or x > tails[-1]:
-            tails.append(x)
-        else:
-            tails[bisect_left(tails, x)] = x
-    found = len(tails) / (total - len(tails))
-    return found if len(tails) >= need else 0.0
+    a, n = 0, min(len(x), len(y))
+    while a < n and x[a] == y[a]:
+        a += 1
+    b = 0
+    while b < n - a and x[-1 - b] == y[-1 - b]:
+        b += 1
+    x, y = x[a : len(x) - b], y[a : len(y) - b]
+    if len(x) < len(y):
+        x, y = y, x
+    gap = len(x) - len(y)
+    if gap > most or not y:
+        return min(gap, most + 1)
+    most = min(most, len(x))
+    places: dict = {}
+    for i, word in enumerate(x):
+        places[word] = places.get(word, 0) | 1 << i
+    full, far = (1 << (2 * most + 1)) - 1, 1 << (gap + most)
+    rises, falls, total = full >> most << most, 0, gap
+    for j, word in enumerate(y, 1):
+        match = places.get(word, 0)
+        match = (match << (most + 1 - j) if j <= most else match >> (j - most - 1)) & full
+        level = ((((match & rises) + rises) ^ rises) | match | falls) & full
+        if not level & far:
+            total += 1
+            if total > most:
+                return most + 1
+        right_up, right_down = falls | (full & ~(level | rises)), level & rises
+        level >>= 1
+        rises, falls = right_down | (full & ~(level | right_up)), level & right_up
+    return total
+
+
+def similarity(a: list, b: list, least: float = LEAST) -> float:
+    """1 less the edits between two lists of words over the words of the longer; 0 where that is below `least`."""
+    longest = max(len(a), len(b))
+    most = int(allowed(longest, least))
+    found = edits(a, b, most) if longest else 0
+    return 1 - found / max(1, longest) if found <= most else 0.0
 
 
 def sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, words_hash, n, signature, keys) of the documents with a word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kmers = Kmers()
+        known = Words()
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words = kmers.words(text)
-                if words:
-                    s = kmers.of(words)
+                if words := words_of(text):
+                    h = known.of(words)
                     same = hashlib.md5(" ".join(words).encode()).digest()
-                    out.append((doc_id, same, len(s), signature(s), sketches(s)))
+                    out.append((doc_id, same, len(h), signature(h), sketches(h)))
             yield pd.DataFrame(out, columns=["doc_id", "words_hash", "n", "signature", "keys"])
 
     rows = docs.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long"), "text")
@@ -159,19 +212,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts align to LEAST or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kmers = Kmers()
         for batch in batches:
-            got: dict[int, np.ndarray] = {}
+            got: dict[int, list[str]] = {}
             keep = []
             for a, b, s, t in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True):
-                for k, text in ((a, s), (b, t)):
-                    if k not in got:
-                        if len(got) > 256:
-                            got.clear()
-                        got[k] = kmers.of(kmers.words(text))
-                if a not in got:
-                    got[a] = kmers.of(kmers.words(s))
-                keep.append(similarity(got[a], got[b]) > 0)
+                if len(got) > 256:
+                    got.clear()
+                x, y = got.get(a) or got.setdefault(a, words_of(s)), got.get(b) or got.setdefault(b, words_of(t))
+                keep.append(similarity(x, y) > 0)
             yield batch.loc[keep, ["a", "b"]]
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -235,12 +283,12 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = docs.sparkSession
     rows = written(sketched(docs), "sketches")
-    same = rows.groupBy("words_hash").agg(F.min("doc_id").alias("rep"))
+    same = written(rows.groupBy("words_hash").agg(F.min("doc_id").alias("rep")), "same")  # apart, so that Spark may split a hot group
     members = rows.join(same, "words_hash").select("doc_id", "rep")
     reps = rows.join(same, "words_hash").where("doc_id = rep").dropDuplicates(["rep"])
     reps = written(reps.select("rep", "n", "signature", "keys"), "reps")
 
-    single = reps.select("rep", F.explode("keys").alias("key"))
+    single = reps.select("rep", F.explode("keys").alias("key")).where("key <> 0")
     shared = single.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     buckets = written(single.join(shared, "key"), "buckets")
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
@@ -282,13 +330,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rep, n, part, sig, side = (block[c] for c in ("rep", "n", "component", "signature", "side"))
         alone, out = bool(block["alone"][0]), []
         for i in range(len(rep) - 1):
-            may = (part[i + 1 :] != part[i]) & (np.minimum(n[i + 1 :], n[i]) >= LEAST * np.maximum(n[i + 1 :], n[i]) - 1e-9)
+            may = (part[i + 1 :] != part[i]) & (np.abs(n[i + 1 :] - n[i]) <= allowed(np.maximum(n[i + 1 :], n[i])))
             if not alone:
                 may &= side[i + 1 :] != side[i]
             at = np.flatnonzero(may) + i + 1
             if len(at):
                 at = at[within(sig[at], sig[i], n[at], n[i])]
-                same = block["keys"][at] == block["keys"][i]  # a pair is told by the first bucket that it shares
+                same = (block["keys"][at] == block["keys"][i]) & (block["keys"][i] != 0)  # a pair is told by the first bucket that it shares
                 at = at[block["keys"][i][same.argmax(axis=1)] == block["bucket"][0]]
                 out.append(np.stack([np.maximum(rep[at], rep[i]), np.minimum(rep[at], rep[i])], axis=1))
         return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
@@ -304,11 +352,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, words_id and kept for every document.
 
     Words are runs of letters, digits and underscores, lower-cased. Texts with the same words have
-    the same words_id, the smallest doc_id among them. Texts whose k-mers of five words align to 0.8 or
-    more (`similarity`) are linked; class_id is the smallest doc_id reachable by links, kept says
-    doc_id = class_id. A text under five words is one k-mer. Null, empty and wordless texts link with
-    nothing; a null doc_id has null class and is kept; repeated rows of one doc_id share a class; an
-    empty table gives no rows; further columns are left aside.
+    the same words_id, the smallest doc_id among them. Texts that share a sketch of k-mers of five
+    words, and whose words align with edits of at most a fifth of the longer text's words
+    (`similarity` 0.8), are linked; class_id is the smallest doc_id reachable by links, kept says
+    doc_id = class_id. Null, empty and wordless texts link with nothing; a null doc_id has null class
+    and is kept; repeated rows of one doc_id share a class; an empty table gives no rows; further
+    columns are left aside.
     """
     members, classes = links(docs)
     named = members.distinct().join(classes, "rep", "left").select(
@@ -321,9 +370,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents that are not the smallest doc_id of their class; all columns stay."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    """docs without the documents that are not the smallest doc_id of their class; all columns stay, and null doc_ids."""
+    (gone,) = free_name(docs, "gone")
+    drop = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(drop, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
