@@ -9,6 +9,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,30 +21,64 @@ from factloom.llm.common import table, written
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct runs whose ids a task keeps; more start the store anew.
-WORDS_KEPT = 400_000
+#: Distinct runs whose ids a worker keeps, and as many of those before them.
+WORDS_KEPT = 300_000
 #: White space in Unicode, and what Python's split takes for it besides.
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 SEPARATOR = re.compile("[\\x1c-\\x1f]")
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long"
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it is printed, else the next from 256 on."""
+    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in printed)
+    return {b: 256 + k for k, b in enumerate(others)}
+
+
+class Runs(dict):
+    """The bytes of the ids of runs, encoded when first asked for; of earlier runs the last `kept` or more stay."""
+
+    def __init__(self, library, kept: int = WORDS_KEPT) -> None:
+        self.encode, self.model, self.kept, self.old = library.encode_batch_fast, library.model.tokenize, kept, {}
+        self.letters = byte_letters()
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.old.get(run)
+        if ids is None:
+            word = run[:-1]
+            if run.isalpha():  # one match of the file's pattern, so its model can be asked at once
+                letters = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.model(letters)]).tobytes()
+            elif run[-1:] in (",", ".") and word[-1:].isalpha():  # the pattern splits between the two
+                ids = self[word] + self[run[-1]]
+            else:
+                ids = array("I", self.encode([run], add_special_tokens=False)[0].ids).tobytes()
+        self[run] = ids
+        return ids
+
+    def trimmed(self) -> None:
+        if len(self) > self.kept:
+            self.old = dict(self)
+            self.clear()
 
 
 class WordEncoder:
     """Texts to the bytes of their ids (little-endian, 32 bits), as the tokenizers library gives them.
 
     The file's pre-tokenizer drops white space and splits what lies between without a look at its
-    neighbours. So each distinct run of other characters is encoded once, by the library, many at a
-    time, and then looked up.
+    neighbours. So each distinct run of other characters is encoded once, by the library, and then
+    looked up. A text that holds one of the file's special tokens goes to the library as it stands.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, normalizers
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.normal = self.library.normalizer.normalize_str
-        self.library.normalizer = normalizers.Sequence([])  # the runs come from normal text
-        self.known: dict[str, bytes] = {}
+        self.whole, library = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.normal = self.whole.normalizer.normalize_str
+        library.normalizer = normalizers.Sequence([])  # the runs come from normal text
+        self.known = Runs(library)
 
     def runs(self, text: str) -> list[str]:
         """Python's lower and split are the file's rules but for a few characters, which go to the library."""
@@ -55,36 +90,39 @@ class WordEncoder:
             text = unicodedata.normalize("NFC", text).lower()
         return SPACE.split(text) if SEPARATOR.search(text) else text.split()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found = [self.runs(t) for t in texts]
-        known = self.known
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = list(set().union(*found).difference(known))
-        for run, ids in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[run] = array("I", ids.ids).tobytes()
-        return [b"".join(map(known.__getitem__, runs)) for runs in found]
+    def encode(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        self.known.trimmed()
+        return b"".join(map(self.known.__getitem__, self.runs(text)))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    return WordEncoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): each document's ids and an end id, cut at the capacity."""
+    """(doc_id, piece, start, length, ids_crc32): each document's ids and an end id, cut at the capacity.
+
+    Ids of rows go through Python as strings, as pandas would round them beside a null.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder, end = WordEncoder(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer).encode, np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            out, texts = [], batch["text"].tolist()
-            coded = (ids for at in range(0, len(texts), 64) for ids in encoder.encode(texts[at : at + 64]))
-            for doc_id, ids in zip(batch["doc_id"], coded, strict=True):
-                ids = memoryview(ids + end)
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ids = memoryview(encode(text) + end)
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, PIECE)
+    rows = docs.select(F.col("doc_id").cast("long").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(cut, PIECE)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
@@ -221,10 +259,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
                 nth = rank - row[:, 1]
                 batch["sequence_id"] = row[:, 2] + nth // row[:, 3]
                 batch["offset"] = row[:, 4] + length * (nth % row[:, 3])
-                batch["doc_id"] = batch["doc_id"].astype("Int64")
                 yield batch
 
-    return ranked.mapInPandas(place, f"{PIECE}, sequence_id long, offset long")
+    placed = ranked.mapInPandas(place, f"{PIECE}, sequence_id long, offset long")
+    return placed.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
