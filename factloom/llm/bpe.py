@@ -7,6 +7,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -140,10 +141,17 @@ class Codec:
         return b"".join([tokens[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
 
+@lru_cache(maxsize=2)
 def codec(ranks_path: str, pattern: str) -> Codec:
+    """One for all tasks of a Python worker."""
     return Codec(read_ranks(ranks_path), pattern)
 
 
+def with_ids(rows: DataFrame, *columns) -> DataFrame:
+    """doc_id as a string, as pandas would round numbers beside a null, and the columns."""
+    return rows.select(F.col("doc_id").cast("long").cast("string"), *columns)
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of each whole text: ids array<int>. Null text has no ids; repeated rows stay."""
 
@@ -151,10 +159,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
         bpe = codec(ranks_path, pattern)
         for batch in batches:
             ids = [np.frombuffer(bpe.encode(t), dtype="<u4").astype(np.int32) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, ids array<int>")
+    return with_ids(docs, F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id string, ids array<int>").withColumn(
+        "doc_id", F.col("doc_id").cast("long")
+    )
 
 
 def decode_documents(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -164,9 +173,9 @@ def decode_documents(rows: DataFrame, ranks_path: str, pattern: str) -> DataFram
         bpe = codec(ranks_path, pattern)
         for batch in batches:
             data = [bpe.decode(np.asarray(i if i is not None else [], dtype="<u4").tobytes()) for i in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "data": data})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "data": data})
 
-    return rows.select(F.col("doc_id").cast("long"), "ids").mapInPandas(run, "doc_id long, data binary")
+    return with_ids(rows, "ids").mapInPandas(run, "doc_id string, data binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -181,14 +190,15 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for batch in batches:
             ids = [bpe.encode(t) for t in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"),
+                "doc_id": batch["doc_id"],
                 "n_tokens": [len(i) // 4 for i in ids],
                 "ids_sha256": [sha(i).hexdigest() for i in ids],
                 "decoded_sha256": [sha(bpe.decode(i)).hexdigest() for i in ids],
             })
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = with_ids(docs, F.coalesce("text", F.lit("")).alias("text"))
+    out = rows.mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def prepared(vectors: DataFrame) -> DataFrame:
         for batch in batches:
             same, data = [], []
             for label, v in zip(batch["label"], batch["embedding"], strict=True):
-                v = None if v is None or pd.isna(label) else np.asarray(v, dtype=np.float64)
+                v = None if v is None or label is None else np.asarray(v, dtype=np.float64)
                 if v is None or not len(v) or not np.isfinite(v).all() or not v.any():
                     same.append(None)
                     data.append(None)
@@ -51,11 +51,14 @@ def prepared(vectors: DataFrame) -> DataFrame:
                     same.append(hashlib.blake2b(raw, digest_size=16, salt=int(label).to_bytes(8, "little", signed=True)).digest())
                     data.append(raw)
             yield pd.DataFrame({
-                "vec_id": batch["vec_id"].astype("Int64"), "same": same, "label": batch["label"].astype("Int64"), "vector": data
+                "vec_id": batch["vec_id"], "same": same, "label": batch["label"], "vector": data
             })
 
-    rows = vectors.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("long").alias("label"))
-    return rows.mapInPandas(run, "vec_id long, same binary, label long, vector binary")
+    long = lambda c: F.col(c).cast("long").cast("string").alias(c)  # noqa: E731  pandas would round numbers beside a null
+    rows = vectors.select(long("vec_id"), "embedding", long("label")).mapInPandas(
+        run, "vec_id string, same binary, label string, vector binary"
+    )
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("vec_id", "label")})
 
 
 def unit(vectors: pd.Series, n: int) -> np.ndarray:

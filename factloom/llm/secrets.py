@@ -56,7 +56,7 @@ NAMED = re.compile(r"(?i:(?<![A-Za-z0-9])(?:[a-z0-9]+[_-])*(?:" + "|".join(KEYWO
 BARE = re.compile(r"[^\s\"'`=:>,;&<(){}\[\]][^\s\"'`,;&<>(){}\[\]]{7,}")
 SIGN = re.compile(r"(?:=>|[=:])[ \t]{0,3}")
 FEATURES = "length digits upper hex symbols entropy transitions changes coverage sample keyword public quoted path format".split()
-SCHEMA = "doc_id long, start long, length long, rule string, score double, is_secret boolean"
+SCHEMA = "doc_id string, start long, length long, rule string, score double, is_secret boolean"
 
 
 def transition_model(words: list[str]) -> dict[str, float]:
@@ -251,15 +251,14 @@ def scan(docs: DataFrame, least: float = 0.5) -> DataFrame:
         for batch in batches:
             out = [
                 (doc_id, start, end - start, rule, score, secret)
-                for doc_id, text, p in zip(batch["doc_id"].astype("Int64"), batch["text"], batch["path"], strict=True)
+                for doc_id, text, p in zip(batch["doc_id"], batch["text"], batch["path"], strict=True)
                 for start, end, rule, score, secret in found(text, p, forest, least)
             ]
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    rows = docs.where("text <> ''").select(F.col("doc_id").cast("long"), "text", path.alias("path"))
-    return rows.mapInPandas(run, SCHEMA)
+    # ids go as strings, as pandas would round numbers beside a null
+    rows = docs.where("text <> ''").select(F.col("doc_id").cast("long").cast("string"), "text", path.alias("path"))
+    return rows.mapInPandas(run, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def redact(docs: DataFrame, least: float = 0.5, mark: str = "<SECRET>") -> DataFrame:

@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,8 @@ REACH = LENGTH - GRAM
 BATCH = 32 << 20
 #: Windows of a long text that are looked at together.
 PART = 2 << 20
-TAGS = 256
+#: Of texts in a group, about.
+GROUP_BYTES = 64 << 20
 OUTSIDE = 256
 BLOBS = "place int, kind string, blob binary"
 
@@ -129,10 +131,10 @@ def unplaned(data: bytes, n: int, dtype, width: int) -> np.ndarray:
     return out.view(dtype)[:, 0]
 
 
-#: kind -> columns of a blob as (numpy type, bytes kept). Fixed for all tasks.
-SAMPLE = (("<u8", 6), ("<u8", 8), ("<i8", 8), ("<u4", 4))
-WINDOW = (("<u8", 8), ("<u4", 4), ("<i8", 8), ("<u4", 4))
-PLACE = (("<i8", 8), ("<u4", 4))
+#: kind -> columns of a blob as (numpy type, bytes kept). Fixed for all tasks. Each ends with doc_id, tag of the text, place.
+SAMPLE = (("<u8", 6), ("<u8", 8), ("<i8", 8), ("<i8", 8), ("<u4", 4))
+WINDOW = (("<u8", 8), ("<u4", 4), ("<i8", 8), ("<i8", 8), ("<u4", 4))
+PLACE = (("<i8", 8), ("<i8", 8), ("<u4", 4))
 
 
 def blob(columns: tuple, shape: tuple) -> bytes:
@@ -167,7 +169,7 @@ def later(order: np.ndarray, keys: tuple, docs: np.ndarray) -> tuple[np.ndarray,
     for k in keys:
         s = k[order]
         new[1:] |= s[1:] != s[:-1]
-    d = docs[order] // TAGS
+    d = docs[order]
     return d > np.repeat(d[new], np.diff(np.r_[np.flatnonzero(new), len(d)])), new
 
 
@@ -177,35 +179,42 @@ def next_prime(n: int) -> int:
     return n
 
 
-def tagged(docs: DataFrame, doc: str, group: str, groups: int) -> DataFrame:
-    """docs with a number for each doc_id and text, in the order of doc_id, and the group that the text is dealt to."""
-    tag = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(TAGS))
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) * F.lit(TAGS) + tag
-    return docs.withColumn(doc, number).withColumn(group, F.pmod(number, F.lit(groups)).cast("int"))
+def tagged(docs: DataFrame, doc: str, tag: str, group: str, groups: int) -> DataFrame:
+    """docs with its doc_id (0 for null), a hash of the text, and the group that the two are dealt to.
+
+    Texts under one doc_id are told apart by their hashes; a null text counts as an empty one.
+    """
+    rows = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), tag: F.xxhash64(F.coalesce("text", F.lit("")))})
+    return rows.withColumn(group, F.pmod(F.col(doc).bitwiseXOR(F.col(tag)), F.lit(groups)).cast("int"))
+
+
+def homes(d: np.ndarray, t: np.ndarray, groups: int) -> np.ndarray:
+    """The groups that tagged() deals doc_ids and hashes to."""
+    return (d ^ t) % groups
 
 
 def sampled(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
     """Blobs of sampled suffixes by bucket, and of those with a holder in the same batch ("whole") by group."""
 
     def flush(store: list[tuple]) -> Iterator[tuple[int, str, bytes]]:
-        h, c, d, p = (np.concatenate(x) for x in zip(*store, strict=True))
-        order = np.lexsort((p, d, c, h))
+        h, c, d, t, p = (np.concatenate(x) for x in zip(*store, strict=True))
+        order = np.lexsort((p, t, d, c, h))
         gone, _ = later(order, (h, c), d)
         out = order[gone]
-        yield from dealt(d[out] % groups, (d[out], p[out]), PLACE, "whole")
+        yield from dealt(homes(d[out], t[out], groups), (d[out], t[out], p[out]), PLACE, "whole")
         keep = np.sort(order[~gone])  # by document and place again: their bytes repeat more
         b = (h[keep] % np.uint64(buckets)).astype(np.int64)
-        yield from dealt(b, (h[keep] // np.uint64(buckets), c[keep], d[keep], p[keep]), SAMPLE, "sample")
+        yield from dealt(b, (h[keep] // np.uint64(buckets), c[keep], d[keep], t[keep], p[keep]), SAMPLE, "sample")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         text, store, held = Text(Rolling(1), Rolling(2)), [], 0
         for batch in batches:
-            for doc, data in zip(batch["doc"], batch["text"], strict=True):
+            for doc, tag, data in zip(batch["doc"], batch["tag"], batch["text"], strict=True):
                 data = data.encode()
                 for _, at, samples, _ in text.parts(data):
                     at = at[np.r_[True, at[1:] != at[:-1]]]
                     h, c = samples(at)
-                    store.append((h, c, np.full(len(at), doc, dtype=np.int64), at.astype(np.uint32)))
+                    store.append((h, c, np.full(len(at), doc), np.full(len(at), tag), at.astype(np.uint32)))
                     held += 14 * len(at)
                     if held >= BATCH:
                         yield pd.DataFrame(flush(store), columns=["place", "kind", "blob"])
@@ -213,8 +222,11 @@ def sampled(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
         if store:
             yield pd.DataFrame(flush(store), columns=["place", "kind", "blob"])
 
-    rows = tagged(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), "doc", "grp", groups)
-    return rows.select("doc", "text").mapInPandas(run, BLOBS)
+    return known_texts(docs, groups).select("doc", "tag", "text").mapInPandas(run, BLOBS)
+
+
+def known_texts(docs: DataFrame, groups: int) -> DataFrame:
+    return tagged(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), "doc", "tag", "grp", groups)
 
 
 def settled(samples: DataFrame, groups: int) -> DataFrame:
@@ -222,10 +234,10 @@ def settled(samples: DataFrame, groups: int) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = [(p, k, b) for p, k, b in frame[["place", "kind", "blob"]].itertuples(index=False) if k != "sample"]
-        h, c, d, p = unblob([b for k, b in zip(frame["kind"], frame["blob"], strict=True) if k == "sample"], SAMPLE)
-        order = np.lexsort((p, d, c, h))
+        h, c, d, t, p = unblob([b for k, b in zip(frame["kind"], frame["blob"], strict=True) if k == "sample"], SAMPLE)
+        order = np.lexsort((p, t, d, c, h))
         gone, new = later(order, (h, c), d)
-        s, e = h[order], d[order] // TAGS
+        s, e = h[order], d[order]
         first = np.r_[True, s[1:] != s[:-1]] if len(s) else np.empty(0, dtype=bool)
         starts = np.flatnonzero(first)
         if len(starts):
@@ -235,58 +247,59 @@ def settled(samples: DataFrame, groups: int) -> DataFrame:
             part = np.repeat((contexts > 1) & shared, sizes) & ~gone
             for rows, kind in ((order[gone], "whole"), (order[part], "part")):
                 rows = np.sort(rows)
-                out += dealt(d[rows] % groups, (d[rows], p[rows]), PLACE, kind)
+                out += dealt(homes(d[rows], t[rows], groups), (d[rows], t[rows], p[rows]), PLACE, kind)
         return pd.DataFrame(out, columns=["place", "kind", "blob"])
 
     return samples.groupBy("kind", "place").applyInPandas(run, BLOBS)
 
 
-def by_document(blobs: pd.DataFrame, kind: str) -> dict[int, np.ndarray]:
-    d, p = unblob(list(blobs.loc[blobs["kind"] == kind, "blob"]), PLACE)
-    order = np.lexsort((p, d))
-    d, p = d[order], p[order].astype(np.int64)
+def by_document(blobs: list[bytes]) -> dict[tuple[int, int], np.ndarray]:
+    """The places of each doc_id and hash of a text."""
+    d, t, p = unblob(blobs, PLACE)
+    order = np.lexsort((p, t, d))
+    d, t, p = d[order], t[order], p[order].astype(np.int64)
     if not len(d):
         return {}
-    cuts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-    return {int(d[a]): p[a:b] for a, b in zip(cuts, np.r_[cuts[1:], len(d)], strict=True)}
+    cuts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
+    return {(int(d[a]), int(t[a])): p[a:b] for a, b in zip(cuts, np.r_[cuts[1:], len(d)], strict=True)}
 
 
 def compared(docs: DataFrame, places: DataFrame, groups: int, buckets: int) -> DataFrame:
     """Places of the windows, among those to be looked at, that a smaller doc_id has ("window")."""
 
     def ask(frame: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
-        text, part, store, seen = Text(Rolling(1), Rolling(2)), by_document(blobs, "part"), [], set()
-        for doc, data in zip(frame["doc"], frame["text"], strict=True):
-            if doc not in part or doc in seen:
+        text, part, store, seen = Text(Rolling(1), Rolling(2)), by_document(list(blobs["blob"])), [], set()
+        for doc, tag, data in zip(frame["doc"], frame["tag"], frame["text"], strict=True):
+            if (doc, tag) not in part or (doc, tag) in seen:
                 continue
-            seen.add(doc)
+            seen.add((doc, tag))
             for low, at, _, windows in text.parts(data.encode()):
-                s = np.flatnonzero(np.isin(at, part[doc])) + low
+                s = np.flatnonzero(np.isin(at, part[doc, tag])) + low
                 if len(s):
-                    store.append((*windows(s), np.full(len(s), doc, dtype=np.int64), s.astype(np.uint32)))
+                    store.append((*windows(s), np.full(len(s), doc), np.full(len(s), tag), s.astype(np.uint32)))
         out = []
         if store:
-            x, y, d, p = (np.concatenate(c) for c in zip(*store, strict=True))
-            order = np.lexsort((p, d, y, x))
+            x, y, d, t, p = (np.concatenate(c) for c in zip(*store, strict=True))
+            order = np.lexsort((p, t, d, y, x))
             gone, _ = later(order, (x, y), d)
             rows = order[gone]
-            out += dealt(d[rows] % groups, (d[rows], p[rows]), PLACE, "window")
+            out += dealt(homes(d[rows], t[rows], groups), (d[rows], t[rows], p[rows]), PLACE, "window")
             rows = np.sort(order[~gone])
-            out += dealt((x[rows] % np.uint64(buckets)).astype(np.int64), (x[rows], y[rows], d[rows], p[rows]), WINDOW, "ask")
+            b = (x[rows] % np.uint64(buckets)).astype(np.int64)
+            out += dealt(b, (x[rows], y[rows], d[rows], t[rows], p[rows]), WINDOW, "ask")
         return pd.DataFrame(out, columns=["place", "kind", "blob"])
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
         kinds = frame["kind"].to_numpy()
         out = list(frame.loc[kinds == "window", ["place", "kind", "blob"]].itertuples(index=False, name=None))
-        x, y, d, p = unblob(list(frame.loc[kinds == "ask", "blob"]), WINDOW)
-        order = np.lexsort((p, d, y, x))
+        x, y, d, t, p = unblob(list(frame.loc[kinds == "ask", "blob"]), WINDOW)
+        order = np.lexsort((p, t, d, y, x))
         gone, _ = later(order, (x, y), d)
         rows = np.sort(order[gone])
-        out += dealt(d[rows] % groups, (d[rows], p[rows]), PLACE, "window")
+        out += dealt(homes(d[rows], t[rows], groups), (d[rows], t[rows], p[rows]), PLACE, "window")
         return pd.DataFrame(out, columns=["place", "kind", "blob"])
 
-    texts = tagged(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), "doc", "grp", groups)
-    asked = texts.select("doc", "text", "grp").groupBy("grp").cogroup(
+    asked = known_texts(docs, groups).select("doc", "tag", "text", "grp").groupBy("grp").cogroup(
         places.where("kind = 'part'").groupBy("place")
     ).applyInPandas(ask, BLOBS)
     return asked.groupBy("kind", "place").applyInPandas(answer, BLOBS)
@@ -305,32 +318,36 @@ def covered(data: bytes, text: Text, whole: np.ndarray | None, single: np.ndarra
     return np.stack([s[np.r_[0, gap + 1]], s[np.r_[gap, len(s) - 1]] + LENGTH], axis=1)
 
 
-def with_spans(docs: DataFrame, build: Callable, schema: str) -> DataFrame:
-    """build(frame, texts as bytes, spans) for groups of rows of docs, in all columns of docs."""
-    spark = docs.sparkSession
-    groups, buckets = next_prime(partitions(spark)), 2 * partitions(spark)
-    doc, group = free_name(docs, "doc", "grp")
+def sizes(docs: DataFrame) -> tuple[int, int]:
+    """(groups of texts, buckets of suffixes): as many as partitions, and more where a group would exceed GROUP_BYTES."""
+    n = partitions(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return next_prime(max(n, total // GROUP_BYTES)), 2 * max(n, total // GROUP_BYTES)
+
+
+def with_spans(docs: DataFrame, build: Callable, schema) -> DataFrame:
+    """build(Arrow table of rows of docs, texts as bytes, spans) for groups of rows of docs; other columns stay as they are."""
+    groups, buckets = sizes(docs)
+    doc, tag, group = free_name(docs, "doc", "tag", "grp")
     places = written(settled(sampled(docs, groups, buckets), groups), "places")
     windows = written(compared(docs, places, groups, buckets), "windows")
     blobs = places.where("kind = 'whole'").unionByName(windows)
 
-    def finish(frame: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
-        text, whole, single = Text(Rolling(1), Rolling(2)), by_document(blobs, "whole"), by_document(blobs, "window")
-        datas, spans, seen = [], [], {}
-        for number, doc_id, value in zip(frame[doc], frame["doc_id"], frame["text"], strict=True):
-            data = (value or "").encode()
-            if pd.isna(doc_id):
-                spans.append(np.empty((0, 2), dtype=np.int64))
-            else:
-                if seen.setdefault(number, value) != value:
-                    raise ValueError(f"doc_id {doc_id} stands for different texts")
-                spans.append(covered(data, text, whole.get(number), single.get(number)))
-            datas.append(data)
-        return build(frame.drop(columns=[doc, group]), datas, spans)
-
-    rows = tagged(docs, doc, group, groups)
-    return rows.groupBy(group).cogroup(blobs.groupBy("place")).applyInPandas(finish, schema)
+    def finish(rows: pa.Table, blobs: pa.Table) -> pa.Table:
+        text, kinds = Text(Rolling(1), Rolling(2)), blobs["kind"].to_pylist()
+        whole, single = (
+            by_document([b for k, b in zip(kinds, blobs["blob"].to_pylist(), strict=True) if k == kind]) for kind in ("whole", "window")
+        )
+        datas = [(value or "").encode() for value in rows["text"].to_pylist()]
+        keys = zip(rows[doc].to_pylist(), rows[tag].to_pylist(), strict=True)
+        spans = [
+            np.empty((0, 2), dtype=np.int64) if doc_id is None else covered(data, text, whole.get(key), single.get(key))
+            for doc_id, key, data in zip(rows["doc_id"].to_pylist(), keys, datas, strict=True)
+        ]
+        return build(rows.drop_columns([doc, tag, group]), datas, spans)
 
+    rows = tagged(docs, doc, tag, group, groups)
+    return rows.groupBy(group).cogroup(blobs.groupBy("place")).applyInArrow(finish, schema)
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -343,17 +360,20 @@ def removed(docs: DataFrame) -> DataFrame:
     other. An empty table gives no rows; further columns are left aside.
     """
 
-    def build(frame: pd.DataFrame, datas: list[bytes], spans: list[np.ndarray]) -> pd.DataFrame:
+    def build(rows: pa.Table, datas: list[bytes], spans: list[np.ndarray]) -> pa.Table:
         out = []
-        for doc_id, data, runs in zip(frame["doc_id"], datas, spans, strict=True):
+        for data, runs in zip(datas, spans, strict=True):
             sha, at = hashlib.sha256(), 0
             for a, b in runs.tolist():
                 sha.update(data[at:a])
                 at = b
             sha.update(data[at:])
-            out.append((doc_id, len(data), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), sha.hexdigest()))
-        out = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-        return out.assign(doc_id=out["doc_id"].astype("Int64"))
+            out.append((len(data), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), sha.hexdigest()))
+        n_bytes, n_removed, n_spans, kept = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.table({
+            "doc_id": rows["doc_id"], "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
+            "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(kept, pa.string()),
+        })
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return with_spans(docs.select(F.col("doc_id").cast("long"), "text"), build, schema)
@@ -362,20 +382,20 @@ def removed(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the removable bytes cut from `text`, where characters cut in half go too; n_chars follows if it is there.
 
-    All rows and all other columns stay.
+    All rows and all other columns stay as they are, null texts too.
     """
 
-    def build(frame: pd.DataFrame, datas: list[bytes], spans: list[np.ndarray]) -> pd.DataFrame:
-        texts = []
-        for value, data, runs in zip(frame["text"], datas, spans, strict=True):
+    def build(rows: pa.Table, datas: list[bytes], spans: list[np.ndarray]) -> pa.Table:
+        texts = rows["text"].to_pylist()
+        for k, (data, runs) in enumerate(zip(datas, spans, strict=True)):
             if len(runs):
                 ends = [0, *runs.ravel().tolist(), len(data)]
-                value = "".join(data[a:b].decode(errors="ignore") for a, b in zip(ends[::2], ends[1::2], strict=True))
-            texts.append(value)
-        frame = frame.assign(text=pd.Series(texts, index=frame.index, dtype=object))
-        if "n_chars" in frame:
-            frame["n_chars"] = [None if t is None else len(t) for t in texts]
-        return frame
+                texts[k] = "".join(data[a:b].decode(errors="ignore") for a, b in zip(ends[::2], ends[1::2], strict=True))
+        new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
+        for name in new.keys() & {*rows.column_names}:
+            at = rows.column_names.index(name)
+            rows = rows.set_column(at, name, pa.array(new[name], rows.schema.field(at).type))
+        return rows
 
     return with_spans(docs, build, docs.schema)
 
