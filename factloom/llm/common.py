@@ -65,11 +65,38 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: Links that one task may hold: 16 bytes each.
+FEW_LINKS = 200_000
+
+
+def walked(edges: DataFrame) -> DataFrame:
+    """components() of at most FEW_LINKS links, by one task."""
+    import pandas as pd
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+        nodes = list(up)
+        yield pd.DataFrame({"node": nodes, "component": [root(x) for x in nodes]}, dtype="int64")
+
+    return edges.coalesce(1).mapInPandas(run, "node long, component long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b): the smallest node reachable.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join that Spark can
-    split, until every link is one of a star. Every step is checkpointed. Null ends link nothing.
+    split, until every link is one of a star, or until the links are so few that a task may walk
+    them. Every step is checkpointed. Null ends link nothing.
     """
     edges = kept(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -83,7 +110,7 @@ def components(edges: DataFrame) -> DataFrame:
         each = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("n"))
         return each.where("ups > 0 AND n > 1").isEmpty()
 
-    while not stars(edges):
+    while edges.count() > FEW_LINKS and not stars(edges):
         # large star: every neighbour above a node links to the smallest of its neighbourhood
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -98,6 +125,8 @@ def components(edges: DataFrame) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
+    if edges.count() <= FEW_LINKS:
+        return walked(edges)
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 

@@ -201,6 +201,11 @@ def sketched(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, words_hash binary, n int, signature binary, keys array<long>")
 
 
+def close(n: Column, m: Column) -> Column:
+    """Whether the lengths of two texts let them reach LEAST."""
+    return F.abs(n - m) <= F.floor((1 - LEAST) * F.greatest(n, m) + 1e-9)
+
+
 def likely(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> np.ndarray:
     """Whether lengths and signatures let a pair reach LEAST."""
     x = np.frombuffer(b"".join(a), dtype=np.uint8).reshape(-1, SLOTS)
@@ -235,8 +240,8 @@ def packed(longs: str) -> Column:
 def labelled(buckets: DataFrame, parts: DataFrame | None) -> DataFrame:
     """(key, rep, component) by the parts found so far."""
     if parts is None:
-        return buckets.select("key", "rep", F.col("rep").alias("component"))
-    return buckets.join(parts, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        return buckets.select("key", "rep", "n", F.col("rep").alias("component"))
+    return buckets.join(parts, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
 
 
 def merged(parts: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -288,7 +293,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = rows.join(same, "words_hash").where("doc_id = rep").dropDuplicates(["rep"])
     reps = written(reps.select("rep", "n", "signature", "keys"), "reps")
 
-    single = reps.select("rep", F.explode("keys").alias("key")).where("key <> 0")
+    single = reps.select("rep", "n", F.explode("keys").alias("key")).where("key <> 0")
     shared = single.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     buckets = written(single.join(shared, "key"), "buckets")
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
@@ -306,9 +311,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first, parts = spark.createDataFrame([], "a long, b long"), None
     for k in range(ROUNDS):
         rows = labelled(buckets, parts)
-        pivot = F.min_by(F.struct("rep", "component"), F.xxhash64("rep", F.lit(k)))
-        pivots = rows.groupBy("key").agg(pivot.alias("p"), F.count_distinct("component").alias("parts")).where("parts > 1")
-        stars = rows.join(pivots, "key").where("component <> p.component")
+        pivot = F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(k)))
+        least, most = F.min("component").alias("least"), F.max("component").alias("most")
+        pivots = rows.groupBy("key").agg(pivot.alias("p"), least, most).where("least < most").select("key", "p")
+        stars = rows.join(pivots, "key").where("component <> p.component").where(close(F.col("n"), F.col("p.n")))
         stars = stars.select(F.greatest("rep", "p.rep").alias("a"), F.least("rep", "p.rep").alias("b")).distinct()
         stars = stars.join(slim("a", "sa", "na"), "a").join(slim("b", "sb", "nb"), "b")
         new = written(verified(stars.mapInPandas(weed, "a long, b long"), texts), "links")
@@ -327,22 +333,30 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return {c: frame[c].to_numpy() for c in ("rep", "n", "component", "bucket")} | wide
 
     def compare(block: dict[str, np.ndarray]) -> np.ndarray:
-        rep, n, part, sig, side = (block[c] for c in ("rep", "n", "component", "signature", "side"))
+        order = np.argsort(block["n"], kind="stable")  # of a text only those up to a quarter longer are looked at
+        rep, n, part, sig, side, keys = (block[c][order] for c in ("rep", "n", "component", "signature", "side", "keys"))
+        longest = n + np.floor(n * (1 - LEAST) / LEAST + 1e-9).astype(n.dtype)
+        ends = np.searchsorted(n, longest, side="right")
+        coarse = sig.reshape(len(sig), SLOTS // 8, 8).sum(axis=2, dtype=np.int16)
         alone, out = bool(block["alone"][0]), []
         for i in range(len(rep) - 1):
-            may = (part[i + 1 :] != part[i]) & (np.abs(n[i + 1 :] - n[i]) <= allowed(np.maximum(n[i + 1 :], n[i])))
+            end = ends[i]
+            may = part[i + 1 : end] != part[i]
             if not alone:
-                may &= side[i + 1 :] != side[i]
+                may &= side[i + 1 : end] != side[i]
             at = np.flatnonzero(may) + i + 1
+            if len(at):
+                # counts of eight slots together differ by no more than those of the slots
+                at = at[np.abs(coarse[at] - coarse[i]).sum(axis=1, dtype=np.int32) <= 2 * allowed(n[at])]
             if len(at):
                 at = at[within(sig[at], sig[i], n[at], n[i])]
-                same = (block["keys"][at] == block["keys"][i]) & (block["keys"][i] != 0)  # a pair is told by the first bucket that it shares
-                at = at[block["keys"][i][same.argmax(axis=1)] == block["bucket"][0]]
+                same = (keys[at] == keys[i]) & (keys[i] != 0)  # a pair is told by the first bucket that it shares
+                at = at[keys[i][same.argmax(axis=1)] == block["bucket"][0]]
                 out.append(np.stack([np.maximum(rep[at], rep[i]), np.minimum(rep[at], rep[i])], axis=1))
         return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
 
     rest = rows.where("component <> top AND parts > 2").select("key", "rep", "component", F.col("key").alias("bucket"))
-    slim_blocks = across(rows, BLOCK).unionByName(in_blocks(rest, "key", "rep", BLOCK))
+    slim_blocks = across(rows, BLOCK).unionByName(in_blocks(rest, "key", "rep", BLOCK))  # n comes with full
     more = by_block(slim_blocks.join(full, "rep"), prepare, compare, 8 * partitions(spark))
     second = written(verified(more.join(first, ["a", "b"], "left_anti"), texts), "links")
     return members, merged(parts, second)
