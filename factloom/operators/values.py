@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from factloom.functions.text import fold
 
-#: Things that are sold for a product and are not the product.
-ACCESSORIES = "adapter backplate bracket cable cooler holder mount riser skin sticker stand waterblock".split()
+#: Patterns of things that are sold for a product and are not the product.
+ACCESSORIES = ["adapter", "backplate", "bracket", "cable", "cooler", "holder", "mount", "riser", "skin", "sticker", "stand", "water ?block"]
 
 
 def cheapest_offers(offers: DataFrame, per_source: int = 3) -> DataFrame:
@@ -23,7 +23,7 @@ def cheapest_offers(offers: DataFrame, per_source: int = 3) -> DataFrame:
 
 def accessory(entity: Column, goal: Column, names: list[str] | None = None) -> Column:
     """Whether an entity names an accessory that the goal does not ask for."""
-    words = "|".join(names or ACCESSORIES).replace("waterblock", "water ?block")
+    words = "|".join(names or ACCESSORIES)
     word = F.regexp_extract(F.coalesce(entity, F.lit("")), rf"(?i)\b({words})s?\b", 0)
     return (word != "") & ~F.contains(F.lower(goal), F.lower(word))
 

@@ -192,8 +192,10 @@ def b18_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, len(regexp_extract_all(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g'), '\\b(?:not only|not just|no longer|not until|no (?:fewer|less|more) than|no\\. ?\\d)', ' ', 'g'),
-'\\b(?:not|no|never|none|nobody|nothing|neither|nor|without|cannot)\\b|n''t\\b'))::BIGINT AS negations FROM documents"""
+    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+n''t|[a-z]+|[0-9]+|\\.') AS w FROM documents)
+SELECT doc_id, len(list_filter(w, lambda x, i: (x IN ('not','no','never','none','nobody','nothing','neither','nor','without','cannot') OR ends_with(x, 'n''t'))
+AND NOT (x = 'not' AND coalesce(w[i+1], '') IN ('only','just','until')) AND NOT (x = 'no' AND (coalesce(w[i+1], '') = 'longer'
+OR (coalesce(w[i+1], '') IN ('fewer','less','more') AND coalesce(w[i+2], '') = 'than') OR (coalesce(w[i+1], '') = '.' AND regexp_matches(coalesce(w[i+2], ''), '^[0-9]'))))))::BIGINT AS negations FROM w"""
 )
 def b21_negations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", t.negations(F.col("text")).cast("long").alias("negations"))
