@@ -281,8 +281,9 @@ def across(rows: DataFrame, most: int) -> DataFrame:
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rep) of the documents with words, rep the smallest doc_id of the same words; and (rep, component) of the reps with links.
 
-    First the texts of a bucket are held against one of them, ROUNDS times another, so that a large
-    group of near copies becomes one component from about as many pairs as it has rows. Then texts of a bucket
+    First the texts of a bucket are held against one of them, so that a large group of near copies
+    becomes one component from about as many pairs as it has rows; that is done again, ROUNDS times in
+    all, in buckets where it joined most texts. Then texts of a bucket
     in different components are compared by their signatures in blocks; only pairs that may reach
     LEAST leave the task and are aligned. No pair is left out for the size of a bucket.
     """
@@ -313,7 +314,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = labelled(buckets, parts)
         pivot = F.min_by(F.struct("rep", "n", "component"), F.xxhash64("rep", F.lit(k)))
         least, most = F.min("component").alias("least"), F.max("component").alias("most")
-        pivots = rows.groupBy("key").agg(pivot.alias("p"), least, most).where("least < most").select("key", "p")
+        joined = F.count_if(F.col("component") != F.col("rep")).alias("joined")
+        pivots = rows.groupBy("key").agg(pivot.alias("p"), least, most, joined, F.count("*").alias("size")).where("least < most")
+        pivots = pivots.where("2 * joined >= size" if k else "true").select("key", "p")
         stars = rows.join(pivots, "key").where("component <> p.component").where(close(F.col("n"), F.col("p.n")))
         stars = stars.select(F.greatest("rep", "p.rep").alias("a"), F.least("rep", "p.rep").alias("b")).distinct()
         stars = stars.join(slim("a", "sa", "na"), "a").join(slim("b", "sb", "nb"), "b")
