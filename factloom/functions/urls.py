@@ -68,3 +68,31 @@ def url_date(url: Column) -> Column:
     bits = F.filter(F.split(full, "/"), lambda x: x != "")
     text = F.concat_ws("-", F.get(bits, F.lit(0)), F.get(bits, F.lit(1)), F.coalesce(F.get(bits, F.lit(2)), F.lit("01")))
     return F.when(full != "", F.try_to_date(text))
+
+
+# Ranges of IPv4 addresses that are not on the public internet, as first and last, and prefixes of IPv6 ones.
+PRIVATE = (
+    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"),
+    ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"), ("192.0.0.0", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"),
+    ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"), ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"),
+    ("240.0.0.0", "255.255.255.255"),
+)
+PRIVATE_V6 = r"^(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|2001:db8:.*|100::.*)$"
+
+
+def address_number(address: Column) -> Column:
+    """An IPv4 address as a number; null for what is none."""
+    parts = F.transform(F.split(address, r"\."), lambda p: F.when(p.rlike(r"^\d{1,3}$"), p).cast("long"))
+    fits = (F.size(parts) == 4) & F.forall(parts, lambda p: F.coalesce(p <= 255, F.lit(False)))
+    return F.when(fits, F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p))
+
+
+def private_address(url: Column) -> Column:
+    """The address that is a URL's host, where it is not on the public internet; null for names and public addresses."""
+    host = F.lower(F.regexp_replace(part(url, 2), "^.*@", ""))
+    v6 = F.regexp_extract(host, r"^\[([0-9a-f:.]+)\]", 1)
+    v4 = F.coalesce(F.nullif(F.regexp_extract(v6, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1), F.lit("")), F.regexp_replace(host, r":\d*$", ""))
+    n = address_number(v4)
+    numeric = lambda a: sum(int(x) << 8 * (3 - i) for i, x in enumerate(a.split(".")))
+    inside = F.greatest(F.lit(False), *[n.between(numeric(a), numeric(b)) for a, b in PRIVATE])
+    return F.when(n.isNotNull() & inside, v4).when((v6 != "") & v6.rlike(PRIVATE_V6), v6)

@@ -49,7 +49,8 @@ def due(watches: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
     """(watch, due) of watches that are not paused: the last start and the interval, now at the earliest."""
     last = runs.groupBy("watch").agg(F.max("started_at").alias("last"))
     at = F.timestamp_seconds(F.col("last").cast("long") + F.col("interval"))
-    return watches.where("NOT paused").join(last, "watch", "left").select("watch", F.coalesce(F.greatest(now, at), now).alias("due"))
+    rows = watches.where("NOT paused").join(last, "watch", "left")
+    return rows.select("watch", F.coalesce(F.greatest(now, at), now).alias("due"))
 
 
 def recency_level(published: Column, today: Column, days: int) -> Column:

@@ -35,3 +35,8 @@ def standing(findings: Column, verified: Column, rated_bad: Column) -> Column:
     good = F.greatest(verified - rated_bad, F.lit(0)) + 1
     bad = findings - verified + 2 * rated_bad + 1
     return (good - bad) / (good + bad)
+
+
+def bonus(findings: Column, verified: Column, rated_bad: Column) -> Column:
+    """What a site's standing adds to the ranking of its hits."""
+    return 0.1 * standing(findings, verified, rated_bad)

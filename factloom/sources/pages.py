@@ -18,20 +18,25 @@ def readable_status(text: Column, junk: Column, n_offers: Column) -> Column:
     return F.when(junk, "junk").when((F.length(text) >= 200) | (n_offers > 0), "ok").otherwise("empty")
 
 
-def content_hash(text: Column) -> Column:
-    return F.sha2(text, 256)
+def content_hash(text: Column, offers: Column | None = None) -> Column:
+    """The hash of a page's text and of its offers (product, price, currency, availability, unit), None where a part is missing."""
+    if offers is None:
+        return F.sha2(text, 256)
+    part = lambda o, c: F.concat(F.lit("|"), F.coalesce(o[c].cast("string"), F.lit("None")))
+    each = F.transform(offers, lambda o: F.concat(*[part(o, c) for c in ("product", "price", "currency", "availability", "unit")]))
+    return F.sha2(F.concat(text, F.array_join(each, "")), 256)
 
 
 def first_versions(docs: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The first row of each key: the first writer of a content hash wins."""
-    first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return docs.withColumn("nth", first).where("nth = 1").drop("nth")
+    """The first row of each key: the first writer of a content hash wins. A grouped minimum, combined before the shuffle."""
+    rest = F.struct(*[c for c in docs.columns if c != key])
+    return docs.groupBy(key).agg(F.min_by(rest, F.struct(*order)).alias("row")).select(key, "row.*")
 
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key."""
-    last = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order]))
-    return rows.withColumn("nth", last).where("nth = 1").drop("nth")
+    """The last row of each key, as a grouped maximum."""
+    rest = F.struct(*[c for c in rows.columns if c != key])
+    return rows.groupBy(key).agg(F.max_by(rest, F.struct(*order)).alias("row")).select(key, "row.*")
 
 
 def append_snapshots(docs: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -39,10 +44,15 @@ def append_snapshots(docs: DataFrame, snapshots: DataFrame) -> DataFrame:
     return first_versions(docs.where("status = 'ok'"), "content_hash", ["fetched_at", "url"]).join(snapshots, "content_hash", "left_anti")
 
 
-def fresh(rows: DataFrame, now: Column) -> DataFrame:
-    """Cached rows that may be used: answers for an hour, failures that may pass for ten minutes."""
+def fresh(rows: DataFrame, now: Column, version: Column | None = None, watch: Column | None = None) -> DataFrame:
+    """Cached rows that may be used: answers for an hour, failures that may pass for ten minutes, a watch's pages for five.
+
+    version: whether the extractor that read the page is the present one, asked of answers only. watch: whether a watch asks.
+    """
     age = now.cast("long") - F.col("fetched_at").cast("long")
-    return rows.where((age >= 0) & (age < F.when(F.col("status") == "ok", 3600).otherwise(600)))
+    life = F.when(F.col("status") == "ok", F.when(watch, 300).otherwise(3600) if watch is not None else F.lit(3600)).otherwise(600)
+    current = (F.col("status") != "ok") | version if version is not None else F.lit(True)
+    return rows.where((age >= 0) & (age < life) & current)
 
 
 def guarded(cell: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from factloom.operators.sites import site_health
+from factloom.operators.sites import FAILURES
 
 
 def new_versions(pages: DataFrame, at: str = "fetched_at", kept: str = "90 days") -> DataFrame:
@@ -21,27 +25,53 @@ def write_new_versions(pages: DataFrame, path: str, checkpoint: str):
     )
 
 
-def merged_health(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Health of sites after the fetches of `new`, given that before: a site's streak goes on unless it was read in between."""
-    a, b = old.alias("a"), new.alias("b")
-    streak = F.when(F.col("b.reads") > 0, F.col("b.streak")).otherwise(F.coalesce("a.streak", F.lit(0)) + F.coalesce("b.streak", F.lit(0)))
-    total = lambda c: (F.coalesce(f"a.{c}", F.lit(0)) + F.coalesce(f"b.{c}", F.lit(0))).alias(c)
-    return a.join(b, "site", "full").select(
-        "site", total("reads"), total("failures"), F.coalesce(streak, "a.streak").alias("streak"),
-        F.greatest("a.last_failure", "b.last_failure").alias("last_failure"),
-    )
+HEALTH = "site string, reads long, failures long, streak long, last_failure timestamp"
+
+
+def site_health_stream(log: DataFrame) -> DataFrame:
+    """Health of the sites of a stream of fetches (site, status, at, seq), told anew for each site that a trigger brings.
+
+    Each site's record is state of its own, so a trigger touches only its sites. Fetches are put in
+    order within a trigger; those of an earlier time that come later count behind.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        reads, failures, streak, last = state.get if state.exists else (0, 0, 0, None)
+        rows = pd.concat(list(frames)).sort_values(["at", "seq"])
+        for status, at in zip(rows["status"], rows["at"], strict=True):
+            if status == "ok":
+                reads, streak = reads + 1, 0
+            else:
+                failures, streak = failures + 1, streak + 1
+                last = at if last is None else max(last, at)
+        state.update((reads, failures, streak, last))
+        yield pd.DataFrame({"site": [key[0]], "reads": [reads], "failures": [failures], "streak": [streak], "last_failure": [last]})
+
+    rows = log.where(F.col("status").isin("ok", *FAILURES)).select("site", "status", "at", "seq")
+    shape = HEALTH.replace("site string, ", "")
+    return rows.groupBy("site").applyInPandasWithState(step, HEALTH, shape, "update", GroupStateTimeout.NoTimeout)
+
+
+ALERT = "watch string, key string, run_id long, change string, amount double, previous double, starts boolean"
 
 
-def keep_health(log: DataFrame, folder: str, checkpoint: str):
-    """Keeps site health up to date: each batch of fetches writes a new version of the table, folder/v=N.
+def watch_stream(facts: DataFrame) -> DataFrame:
+    """(watch, key, run_id, change, amount, previous, starts) of a stream of facts (watch, key, run_id, amount, holds).
 
-    A batch that is run again after a failure writes its own version again, from the one before.
+    Each fact of a watch is state of its own: its last amount, and whether its condition held. A fact is
+    new, changed or same by what its key had before; starts says that its condition holds and did not at the
+    fact before, so each start alerts once, also over restarts from the checkpoint.
     """
 
-    def step(batch: DataFrame, n: int) -> None:
-        new = site_health(batch)
-        if n:
-            new = merged_health(batch.sparkSession.read.parquet(f"{folder}/v={n - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{folder}/v={n}")
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        before, held = state.get if state.exists else (None, False)
+        out = []
+        for row in pd.concat(list(frames)).sort_values("run_id").itertuples():
+            change = "new" if before is None else "changed" if before != row.amount else "same"
+            out.append((*key, row.run_id, change, row.amount, before, bool(row.holds and not held)))
+            before, held = row.amount, bool(row.holds)
+        state.update((float(before), held))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT.split(", ")])
 
-    return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    rows = facts.where("amount IS NOT NULL").select("watch", "key", "run_id", "amount", F.coalesce("holds", F.lit(False)).alias("holds"))
+    return rows.groupBy("watch", "key").applyInPandasWithState(step, ALERT, "amount double, held boolean", "append", GroupStateTimeout.NoTimeout)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as t
 from factloom.functions import urls as u
-from factloom.operators import sites, values
+from factloom.operators import values
 from factloom.streaming import streams
 
 
@@ -63,19 +63,7 @@ def test_outliers_match_brute_force(spark):
         assert row["outlier"] == want
 
 
-def test_streams_equal_batches(spark, tmp_path):
-    log = [(s, st, datetime.datetime(2024, 1, 1, h), h) for s, h, st in [
-        ("a", 1, "ok"), ("a", 2, "timeout"), ("b", 1, "blocked"), ("a", 3, "timeout"), ("b", 2, "blocked"), ("b", 3, "ok"), ("c", 1, "not_found")]]
-    schema = "site string, status string, at timestamp, seq int"
-    for part in (log[:3], log[3:]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-    streams.keep_health(source, str(tmp_path / "health"), str(tmp_path / "c1")).awaitTermination()
-    last = max((tmp_path / "health").iterdir(), key=lambda p: int(p.name[2:]))
-    got = spark.read.parquet(str(last)).select("site", "reads", "failures", "streak", "last_failure")
-    want = sites.site_health(spark.createDataFrame(log, schema)).select("site", "reads", "failures", "streak", "last_failure")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
+def test_stream_of_new_versions(spark, tmp_path):
     pages = [("u1", "ok", "h1", datetime.datetime(2024, 1, 1)), ("u2", "ok", "h1", datetime.datetime(2024, 1, 2)), ("u3", "blocked", "h2", datetime.datetime(2024, 1, 2))]
     shape = "url string, status string, content_hash string, fetched_at timestamp"
     spark.createDataFrame(pages, shape).coalesce(1).write.parquet(str(tmp_path / "pages"))
