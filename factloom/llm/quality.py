@@ -14,8 +14,8 @@ from factloom.llm.common import table
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Rows on which costs and rejections are estimated. They steer the order of the rules only.
-SAMPLE_ROWS = 200
+#: Rows, characters of each, and turns on which costs and rejections are estimated. They steer the order of the rules only.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TIMES = 200, 20_000, 5
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -78,87 +78,102 @@ def repeated_words(found: Column) -> Column:
     return let(F.transform(found, lambda w: F.xxhash64(w)), of_words)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the base measures of each whole text. Null text has no words."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), words(text).alias("words"), lines_with_words(text).alias("lines"))
-    return rows.select(
-        "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.size("lines").cast("long").alias("n_lines"),
-        letter_words(F.col("words")).cast("long").alias("n_letter_words"),
-    )
+def measures(text: Column, found: Column) -> dict[str, Column]:
+    """What the rules look at, as columns of a text and its words."""
+    lines = lines_with_words(text)
+    return {
+        "n_words": F.size(found).cast("long"),
+        "word_chars": F.length(F.array_join(found, "")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": repeated_words(found),
+        "n_letter_words": letter_words(found).cast("long"),
+    }
+
+
+def rules(m: dict[str, Column]) -> dict[str, Column]:
+    """name -> what rejects a text, by its measures. Loose bounds, so that only plain junk goes."""
+    return {
+        "too_few_words": m["n_words"] < 20,
+        "repeated_windows": 100 * m["n_repeat_words"] > 30 * m["n_words"],
+        "many_symbols": m["n_symbols"] > m["n_words"],
+        "word_length": ~m["word_chars"].between(2 * m["n_words"], 15 * m["n_words"]),
+        "repeated_lines": 100 * m["n_dup_lines"] > 30 * m["n_lines"],
+        "few_letters": 10 * m["n_letter_words"] < 4 * m["n_words"],
+    }
 
 
-#: name -> what rejects a measured text. Loose bounds, so that only plain junk goes.
-RULES: dict[str, Column | Callable[[], Column]] = {
-    "too_few_words": lambda: F.col("n_words") < 20,
-    "repeated_windows": lambda: 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
-    "many_symbols": lambda: F.col("n_symbols") > F.col("n_words"),
-    "word_length": lambda: ~F.col("word_chars").between(2 * F.col("n_words"), 15 * F.col("n_words")),
-    "repeated_lines": lambda: 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
-    "few_letters": lambda: 10 * F.col("n_letter_words") < 4 * F.col("n_words"),
-}
 BASE = ("too_few_words", "repeated_windows")
+PUBLISHED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def cascade(named: dict[str, Column], order: list[str]) -> Column:
+    """True as soon as a rule rejects; later rules are then not looked at."""
+    return reduce(lambda rest, name: F.when(named[name], True).otherwise(rest), reversed(order), F.lit(False))
 
 
 def ordered(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """The rules by rejections per second on a sample, the best first.
 
     The order changes no verdict: a text is kept if no rule rejects it. So the sample is simply the
-    first rows that Spark reads, `sample_rows` at most, taken from as few partitions as hold them.
+    first rows that Spark reads, `sample_rows` at most and of each SAMPLE_CHARS characters at most, taken
+    from as few partitions as hold them. A rule's cost is the time of a job over the sample, each row
+    SAMPLE_TIMES, less that of a job that only splits the words.
     """
     spark = docs.sparkSession
-    sample = spark.createDataFrame(docs.select("doc_id", "text").take(sample_rows), docs.select("doc_id", "text").schema)
-    total = measured(sample).agg(F.count("*").alias("total"), *[F.count_if(rule()).alias(name) for name, rule in RULES.items()]).first()
-    gain = {}
-    for name, rule in RULES.items():
-        began = time.perf_counter()
-        measured(sample).agg(F.count_if(rule())).collect()
-        gain[name] = total[name] / max(1, total["total"]) / max(1e-3, time.perf_counter() - began)
-    return sorted(RULES, key=lambda name: -gain[name])
+    taken = docs.select(F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text")).take(sample_rows)
+    if not taken:
+        return list(rules(dict.fromkeys(measures(F.lit(""), F.array(F.lit(""))), F.lit(0))))
+    rows = spark.createDataFrame([(r["text"],) for r in taken], "text string")
+    rows = rows.select("text", F.explode(F.sequence(F.lit(1), F.lit(SAMPLE_TIMES))).alias("turn"))
 
+    def run(name: str | None) -> tuple[float, int]:
+        began = time.perf_counter()
+        verdict = let(words(F.col("text")), lambda w: rules(measures(F.col("text"), w))[name] if name else F.size(w) < 0)
+        rejected = rows.agg(F.count_if(verdict)).first()[0]
+        return time.perf_counter() - began, rejected
 
-def any_rejects(names: list[str]) -> Column:
-    """True as soon as a rule rejects; later rules are then not looked at."""
-    return reduce(lambda rest, name: F.when(RULES[name](), True).otherwise(rest), reversed(names), F.lit(False))
+    run(None)
+    least, _ = run(None)
+    gain = {}
+    for name in rules(measures(F.lit(""), F.array(F.lit("")))):
+        took, rejected = run(name)
+        gain[name] = rejected / max(1e-3, took - least)
+    return sorted(gain, key=lambda name: -gain[name])
 
 
 def judged(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The base measures and verdicts of every document.
 
-    Null and empty texts have no words and fail the base; texts of any length are read whole;
-    repeated rows each get their row; an empty table gives none; further columns are left aside.
+    The published measures are asked for of every row; what else a rule looks at is computed only for
+    rows that the cascade brings to it. Null and empty texts have no words and fail the base; texts of
+    any length are read whole; repeated rows each get their row; an empty table gives none; further
+    columns are left aside.
     """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", words(F.col("text")))
+    rows = rows.withColumn("lines", lines_with_words(F.col("text")))
+    own = measures(F.col("text"), F.col("words"))
+    own["n_dup_lines"] = (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")
+    rows = rows.select("doc_id", "words", "lines", *[own[name].alias(name) for name in PUBLISHED])
+    named = rules({**{name: F.col(name) for name in PUBLISHED}, "n_lines": F.size("lines"), "n_letter_words": letter_words(F.col("words"))})
     rest = [name for name in ordered(docs, sample_rows) if name not in BASE]
-    failed = RULES["too_few_words"]() | RULES["repeated_windows"]()
-    return measured(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~F.when(failed, True).otherwise(any_rejects(rest))).alias("kept"),
+    failed = named["too_few_words"] | named["repeated_windows"]
+    return rows.select(
+        "doc_id", *PUBLISHED, failed.alias("base_failed"), (~F.when(failed, True).otherwise(cascade(named, rest))).alias("kept")
     )
 
 
 def keep_good(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs, with all their columns, that no rule rejects.
 
-    The measures stand in the cascade itself, so a rule behind one that rejects costs nothing.
+    The words of a text are split once; measures stand in the cascade itself, so a rule behind one that
+    rejects costs nothing. A null or empty text is rejected for its words; repeated rows are judged
+    each; an empty table gives no rows; a null doc_id does not matter.
     """
     order = ordered(docs, sample_rows)
     text = F.coalesce("text", F.lit(""))
-    n = F.size(words(text))
-    rejects = {
-        "too_few_words": n < 20,
-        "repeated_windows": 100 * repeated_words(words(text)) > 30 * n,
-        "many_symbols": F.length(text) - F.length(without(text, SYMBOLS)) > n,
-        "word_length": ~F.length(F.array_join(words(text), "")).between(2 * n, 15 * n),
-        "repeated_lines": let(lines_with_words(text), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > 30 * F.size(x)),
-        "few_letters": 10 * letter_words(words(text)) < 4 * n,
-    }
-    return docs.where(~reduce(lambda rest, name: F.when(rejects[name], True).otherwise(rest), reversed(order), F.lit(False)))
+    return docs.where(~let(words(text), lambda w: cascade(rules(measures(text, w)), order)))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
