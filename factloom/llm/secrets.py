@@ -2,34 +2,26 @@
 
 from __future__ import annotations
 
+import base64
 import math
 import random
 import re
 import string
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import table
 
-#: Words beside a secret, common words of prose and code, and paths that hold examples.
+#: Words beside a secret and beside public numbers, words in samples, and paths that hold examples.
 KEYWORDS = "token secret password passwd pwd apikey api_key key auth bearer credential credentials private access".split()
 PUBLIC = "sha sha1 sha256 md5 checksum digest commit uuid guid hash revision etag isbn color id ref version".split()
-DICTIONARY = (
-    "about above account action after again also always another because before being between both cannot change "
-    "class client code config connection content could count create data date default delete document each error "
-    "example field file first format from function group have here home host image index info input into item "
-    "just know label last length level like line link list local long main make message method more most name new "
-    "next node null number object only open option order other output over page part path people place point "
-    "position process project property public query read record request result return right same sample search "
-    "select server service session should show simple some source start state status string style system table "
-    "test text than that their them then there these they this time title tree type under update upon user value "
-    "version very view want well what when where which while will with word work world would write year your"
-).split()
 SAMPLES = "example sample dummy placeholder changeme your xxxx test fake todo redacted".split()
 EXAMPLE_PATHS = "test tests example examples doc docs fixture fixtures sample mock".split()
 #: Formats that issuers publish.
@@ -56,45 +48,59 @@ NAMED = re.compile(r"(?i:(?<![A-Za-z0-9])(?:[a-z0-9]+[_-])*(?:" + "|".join(KEYWO
 BARE = re.compile(r"[^\s\"'`=:>,;&<(){}\[\]][^\s\"'`,;&<>(){}\[\]]{7,}")
 SIGN = re.compile(r"(?:=>|[=:])[ \t]{0,3}")
 FEATURES = "length digits upper hex symbols entropy transitions changes coverage sample keyword public quoted path format".split()
+#: A missed secret costs more than a false alarm.
+LEAST = 0.35
 SCHEMA = "doc_id string, start long, length long, rule string, score double, is_secret boolean"
 
 
-def transition_model(words: list[str]) -> dict[str, float]:
-    """Log probabilities of a letter after a letter in words, with one added to each count."""
-    pairs = Counter(a + b for w in words for a, b in zip(w, w[1:], strict=False))
-    firsts = Counter(a for w in words for a in w[:-1])
-    letters = string.ascii_lowercase
-    return {a + b: math.log((pairs[a + b] + 1) / (firsts[a] + len(letters))) for a in letters for b in letters}
+class Language:
+    """The words of a tokenizer's vocabulary: how likely letters follow each other in them, and what they cover of a string."""
+
+    def __init__(self, ranks_path: str) -> None:
+        tokens = (base64.b64decode(line.split()[0]) for line in open(ranks_path, "rb") if line.strip())
+        words = [t[1:].decode().lower() for t in tokens if re.fullmatch(rb" [A-Za-z]{3,12}", t)]
+        self.words = {*words, *KEYWORDS, *SAMPLES}
+        pairs = Counter(a + b for w in words for a, b in zip(w, w[1:], strict=False))
+        firsts = Counter(a for w in words for a in w[:-1])
+        letters = string.ascii_lowercase
+        self.steps = {a + b: math.log((pairs[a + b] + 1) / (firsts[a] + len(letters))) for a in letters for b in letters}
+
+    def covered(self, low: str) -> int:
+        """Characters in words of four letters or more, the longest first from the left."""
+        total, i, n = 0, 0, len(low)
+        while i < n:
+            word = next((k for k in range(min(12, n - i), 3, -1) if low[i : i + k] in self.words), 0)
+            total += word
+            i += word or 1
+        return total
+
+
+@lru_cache(maxsize=2)
+def language(ranks_path: str) -> Language:
+    """One for all tasks of a Python worker."""
+    return Language(ranks_path)
 
 
-TRANSITIONS = transition_model(DICTIONARY)
 RARE = math.log(1 / 60)
 
 
-def features(value: str, before: str, path: str, rule: str) -> list[float]:
-    """The numbers the forest looks at: the candidate, the words before it and its path."""
+def features(value: str, before: str, after: str, path: str, rule: str, known: Language) -> list[float]:
+    """The numbers the forest looks at: the candidate, the words around it and its path."""
     n, low = len(value), value.lower()
-    steps = [TRANSITIONS.get(low[i : i + 2], RARE) for i in range(n - 1)]
+    steps = [known.steps.get(low[i : i + 2], RARE) for i in range(n - 1)]
     kind = [("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s") for c in value]
-    covered, i = 0, 0
-    while i < n:
-        word = next((w for w in range(min(10, n - i), 3, -1) if low[i : i + w] in WORDS), 0)
-        covered += word
-        i += word or 1
-    near = re.findall(r"[a-z0-9_]+", before.lower())[-4:]
-    has = lambda names: float(any(w in names or any(p in names for p in w.split("_")) for w in near))
+    near, later = re.findall(r"[a-z0-9_]+", before.lower())[-4:], re.findall(r"[a-z0-9_]+", after.lower())[:4]
+    has = lambda found, names: float(any(w in names or any(p in names for p in w.split("_")) for w in found))
     return [
         n, kind.count("d") / n, kind.count("u") / n, sum(c in "0123456789abcdef" for c in low) / n, kind.count("s") / n,
         -sum(k / n * math.log2(k / n) for k in Counter(value).values()), sum(steps) / max(1, len(steps)),
-        sum(a != b for a, b in zip(kind, kind[1:], strict=False)) / max(1, n - 1), covered / n,
-        float(any(s in low for s in SAMPLES)), has(KEYWORDS), has(PUBLIC), float(before[-1:] in "\"'`"),
+        sum(a != b for a, b in zip(kind, kind[1:], strict=False)) / max(1, n - 1), known.covered(low) / n,
+        float(any(s in low for s in SAMPLES)), has(near, KEYWORDS), has(near, PUBLIC), has(later, PUBLIC), has(later, SAMPLES),
+        float(before[-1:] in "\"'`"), float(before[-2:-1] in "[({" or before[-1:] in "[({"),
         float(any(p in re.split(r"\W+|_", path.lower()) for p in EXAMPLE_PATHS)), float(rule in FORMATS),
     ]
 
 
-WORDS = {*DICTIONARY, *KEYWORDS, *SAMPLES}
-
-
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, rule) of everything that may be a secret, in order and without overlaps.
 
@@ -137,53 +143,39 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def labelled_findings(rows: int = 4000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels (1: secret) of findings as reviewers label them, made from a seed.
+FINDINGS = Path(__file__).with_name("findings.tsv")
+
 
-    Secrets are random values of the usual alphabets, mostly beside words that announce them;
-    false positives are identifiers, paths, sums, hashes of public things, samples and repeats.
+def labelled_findings(known: Language, file: Path = FINDINGS, turns: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels (1: secret) of the findings in a file that people labelled, at most 200 rows.
+
+    Its values stand for many alike, so each secret is taken `turns` times, with other letters and digits
+    of the same kinds in the same places; its named parts, as AKIA, stay. False positives are taken as
+    often, their digits changed.
     """
     r = random.Random(seed)
-    hexes, base64, mixed = "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits
-    pick = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
-    word = lambda: r.choice(DICTIONARY)
     x, y = [], []
-    for _ in range(rows):
-        path = r.choice(["src/main.py", "config/app.env", "notes.txt", "src0", "web/page.html"])
-        if r.random() < 0.5:
-            value = r.choice([
-                lambda: pick(hexes, r.choice([32, 40, 48, 64])), lambda: pick(base64, r.choice([24, 32, 40, 44, 64])),
-                lambda: pick(mixed, r.randint(16, 48)), lambda: pick(mixed + "!@#%^_-", r.randint(10, 24)),
-            ])()
-            lead = r.choice(KEYWORDS)
-            before = f"{word()} {lead}{r.choice([' = ', ': ', '=', ' '])}" + r.choice(['"', "'", '"', ""])
-            if len(value) >= 32 and r.random() < 0.15:
-                before = f"{word()} {word()} "
-            rule, label = r.choice(["assigned", "generic"]), 1
-            if r.random() < 0.2:
-                value = r.choice(["AKIA" + pick(string.ascii_uppercase + string.digits, 16), "ghp_" + pick(mixed, 36), "sk_live_" + pick(mixed, 24)])
-                before, rule = f"{word()} {word()} ", r.choice(list(FORMATS))
-        else:
-            lead = r.choice([*PUBLIC, word(), word(), word()])
-            value = r.choice([
-                lambda: r.choice(["_", "-", "/", ""]).join(word() for _ in range(r.randint(3, 6))) + str(r.randint(0, 99)),
-                lambda: r.choice(SAMPLES) + "-" + r.choice([*KEYWORDS, word()]) + "-" + str(r.randint(0, 9999)),
-                lambda: pick("0123456789", r.randint(12, 20)) + r.choice(["", "a"]),
-                lambda: r.choice(hexes + "x") * r.randint(16, 40),
-                lambda: f"{pick(hexes, 8)}-{pick(hexes, 4)}-4{pick(hexes, 3)}-a{pick(hexes, 3)}-{pick(hexes, 12)}",
-                lambda: pick(hexes, r.choice([32, 40, 64])),
-                lambda: "".join(word().title() for _ in range(r.randint(3, 5))) + str(r.randint(1, 9)),
-            ])()
-            if re.fullmatch(r"[0-9a-f]{32,}", value) and len(set(value)) > 3:
-                lead = r.choice(PUBLIC)
-            before = f"{word()} {lead}{r.choice([' ', ': ', ' = ', '='])}" + r.choice(['"', "", ""])
-            if r.random() < 0.3:
-                path = r.choice(["tests/test_app.py", "docs/example.md", "fixtures/data.json"])
-            if r.random() < 0.25 and any(s in value for s in SAMPLES):
-                before = f"{r.choice(KEYWORDS)} = \""
-            rule, label = "generic", 0
-        x.append(features(value, before, path, rule))
-        y.append(label)
+    for row in file.read_text().splitlines()[1:201]:
+        label, path, line = row.split("\t")
+        before, rest = line.split("«", 1)
+        value, after = rest.split("»", 1)
+        kept = len(max((p for p in ("AKIA", "ghp_", "sk_live_", "xoxb-", "AIza", "eyJ") if value.startswith(p)), default=""))
+        hexes = not re.search(r"[g-zA-Z]", value)
+        for turn in range(turns):
+            new = value
+            if turn:
+                def other(c: str) -> str:
+                    if c.isdigit():
+                        return r.choice(string.digits)
+                    if label == "0" or not c.isalpha():
+                        return c
+                    return r.choice("abcdef" if hexes else string.ascii_lowercase if c.islower() else string.ascii_uppercase)
+
+                new = value[:kept] + "".join(map(other, value[kept:]))
+            found = candidates(before + new + after)
+            rule = next((k for a, b, k in found if a <= len(before) < b), "generic")
+            x.append(features(new, before[-60:], after[:60], path, rule, known))
+            y.append(int(label))
     return np.array(x), np.array(y)
 
 
@@ -231,55 +223,67 @@ class Forest:
         return total / len(self.trees)
 
 
-def found(text: str, path: str, forest: Forest, least: float) -> Iterator[tuple[int, int, str, float, bool]]:
+def found(text: str, path: str, forest: Forest, known: Language, least: float) -> Iterator[tuple[int, int, str, float, bool]]:
     for start, end, rule in candidates(text):
-        score = forest.score(features(text[start:end], text[max(0, start - 60) : start], path, rule))
+        score = forest.score(features(text[start:end], text[max(0, start - 60) : start], text[end : end + 60], path, rule, known))
         yield start, end, rule, score, score >= least
 
 
-def scan(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def trained(ranks_path: str) -> Forest:
+    return Forest(*labelled_findings(language(ranks_path)))
+
+
+def path_of(docs: DataFrame) -> Column:
+    """Where a document comes from: its `path`, else its `source`, else nothing."""
+    names = [c for c in ("path", "source") if c in docs.columns]
+    return F.coalesce(*[F.col(c).cast("string") for c in names], F.lit(""))
+
+
+def scan(docs: DataFrame, ranks_path: str, least: float = LEAST) -> DataFrame:
     """A row for each candidate in the whole texts: its place in characters, its rule, the forest's score and verdict.
 
     The values themselves are not returned. Null and empty texts have no candidates; repeated rows
-    are scanned each; an empty table gives no rows; `source` is the path where docs has that column,
-    further columns are left aside. One pass, nothing is shuffled.
+    are scanned each; an empty table gives no rows; `path`, else `source`, is the path where docs has that
+    column, further columns are left aside. The vocabulary at ranks_path gives the dictionary. One pass,
+    nothing is shuffled.
     """
-    path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    forest = Forest(*labelled_findings())
+    forest = trained(ranks_path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = language(ranks_path)
         for batch in batches:
             out = [
                 (doc_id, start, end - start, rule, score, secret)
                 for doc_id, text, p in zip(batch["doc_id"], batch["text"], batch["path"], strict=True)
-                for start, end, rule, score, secret in found(text, p, forest, least)
+                for start, end, rule, score, secret in found(text, p, forest, known, least)
             ]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     # ids go as strings, as pandas would round numbers beside a null
-    rows = docs.where("text <> ''").select(F.col("doc_id").cast("long").cast("string"), "text", path.alias("path"))
+    rows = docs.where("text <> ''").select(F.col("doc_id").cast("long").cast("string"), "text", path_of(docs).alias("path"))
     return rows.mapInPandas(run, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def redact(docs: DataFrame, least: float = 0.5, mark: str = "<SECRET>") -> DataFrame:
+def redact(docs: DataFrame, ranks_path: str, least: float = LEAST, mark: str = "<SECRET>") -> DataFrame:
     """docs with every secret in `text` replaced by a mark; all rows and columns stay, null texts too."""
-    source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    forest = Forest(*labelled_findings())
+    forest = trained(ranks_path)
 
     @F.pandas_udf("string")
     def clean(texts: pd.Series, paths: pd.Series) -> pd.Series:
-        out = []
+        out, known = [], language(ranks_path)
         for text, p in zip(texts, paths, strict=True):
             parts, at = [], 0
-            for start, end, _, _, secret in found(text, p, forest, least) if text else ():
+            for start, end, _, _, secret in found(text, p, forest, known, least) if text else ():
                 if secret:
                     parts += [text[at:start], mark]
                     at = end
             out.append("".join([*parts, text[at:]]) if parts else text)
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn("text", clean("text", source))
+    return docs.withColumn("text", clean("text", path_of(docs)))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
