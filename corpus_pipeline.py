@@ -24,8 +24,10 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
-    return secrets.redact(docs)
+    """Secrets are replaced by a mark; all rows stay, null texts too."""
+    import public_tokenizers
+
+    return secrets.redact(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
