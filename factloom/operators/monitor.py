@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.functions.urls import hostname
+
 
 def condition_starts(evaluations: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The evaluations at which a condition holds and did not at the one before."""
@@ -30,6 +32,42 @@ def confidence(findings: DataFrame) -> DataFrame:
     return got.withColumn("level", F.when(high, "high").when(F.col("trusted") > 0, "medium").otherwise("low"))
 
 
+def assess(findings: DataFrame, sources: DataFrame, runs: DataFrame, stale_days: int = 30) -> DataFrame:
+    """confidence() of each run, one level lower for news whose newest trusted page is too old or undated.
+
+    findings: run_id, source_no, trusted. sources: run_id, source_no, url, published, updated. runs: run_id, kind, today.
+    """
+    rows = findings.join(sources.select("run_id", "source_no", hostname(F.col("url")).alias("site"), F.greatest("published", "updated").alias("day")), ["run_id", "source_no"], "left")
+    newest = rows.where("trusted").groupBy("run_id").agg(F.max("day").alias("day"))
+    out = runs.join(confidence(rows), "run_id", "left").join(newest, "run_id", "left")
+    old = (F.col("kind") == "news") & ~F.coalesce(F.datediff("today", "day") <= stale_days, F.lit(False))
+    level = F.coalesce("level", F.lit("low"))
+    level = F.when(old & (level == "high"), "medium").when(old & (level == "medium"), "low").otherwise(level)
+    return out.select("run_id", F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("trusted", F.lit(0)).alias("trusted"), F.coalesce("sites", F.lit(0)).alias("sites"), level.alias("level"))
+
+
+def newest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """The newest n rows of each key, numbered from 1; tasks drop what is beyond before the shuffle."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= n)
+
+
+def with_last_run(watches: DataFrame, runs: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """Every watch with its last run's columns, null where it never ran."""
+    last = runs.groupBy("watch").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("last"))
+    return watches.join(last, "watch", "left")
+
+
+def change_counts(deltas: DataFrame, key: str, change: str, kinds: list[str]) -> DataFrame:
+    """How many changes of each kind a key has."""
+    return deltas.groupBy(key).agg(*[F.count_if(F.col(change) == k).alias(k.lower()) for k in kinds])
+
+
+def first_wins(rows: DataFrame, key: str, pos: str) -> DataFrame:
+    """(key, pos, copies): of equal keys the first, and how many there are."""
+    return rows.groupBy(key).agg(F.min(pos).alias(pos), F.count("*").alias("copies"))
+
+
 def ruling(supports: Column, refutes: Column) -> Column:
     return F.when((supports > 0) & (refutes > 0), "disputed").when(supports > 0, "supported").when(refutes > 0, "refuted").otherwise("unclear")
 

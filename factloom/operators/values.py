@@ -50,6 +50,26 @@ def flag_outliers(rows: DataFrame, group: list[str], amount: str, order: list[st
     return ranked.withColumn("outlier", F.coalesce(out, F.lit(False))).drop("rank", "n", "below", "middle", "above", "k")
 
 
+def flag_values(findings: DataFrame, low: float = 0.5, high: float = 2.5) -> DataFrame:
+    """Adds outlier to findings (run_id, pos, trusted, amount, currency, unit): judged are trusted amounts that are no rates, by run and currency."""
+    judged = F.col("trusted") & F.col("amount").isNotNull() & F.col("unit").isNull()
+    rows = findings.withColumn("money", F.coalesce("currency", F.lit("")))
+    flagged = flag_outliers(rows.where(judged), ["run_id", "money"], "amount", ["pos"], low, high).drop("others_median")
+    rest = rows.where(~F.coalesce(judged, F.lit(False))).withColumn("outlier", F.lit(False))
+    return flagged.unionByName(rest).drop("money")
+
+
+def offer_findings(offers: DataFrame, per_source: int = 3) -> DataFrame:
+    """Findings of the cheapest offers (source, pos, product, price, currency, unit) of each source: claim, quote, attribute and amount."""
+    told = cheapest_offers(offers.withColumn("name", F.col("product")), per_source)
+    amount = F.concat_ws(" ", F.col("price").cast("string"), "currency")
+    amount = F.when(F.col("unit").isNotNull(), F.concat(amount, F.lit(" per "), "unit")).otherwise(amount)
+    return told.select(
+        "source", F.col("name").alias("entity"), F.lit("price").alias("attribute"), amount.alias("value"), F.concat(F.coalesce("name", F.lit("offer")), F.lit(": "), amount).alias("claim"),
+        F.concat(F.lit("- "), F.coalesce("name", F.lit("offer")), F.lit(": "), amount).alias("quote"), F.col("price").alias("amount"), "currency", "unit",
+    )
+
+
 def series(observations: DataFrame, key: list[str], order: list[str], amount: str) -> DataFrame:
     """First, last, lowest and highest amount of each key, and how many points it has."""
     at = F.struct(*order)

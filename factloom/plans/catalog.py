@@ -234,10 +234,8 @@ def b23_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     watches = read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("watch"), t.interval_seconds(every).alias("interval"), (F.col("c_custkey") % 7 == 0).alias("paused")
     )
-    last = runs.groupBy("watch").agg(F.max("started_at").alias("started_at"))
-    out = watches.where("NOT paused").join(last, "watch", "left").crossJoin(F.broadcast(now))
-    at = F.timestamp_seconds(F.col("started_at").cast("long") + F.col("interval"))
-    return out.select("watch", F.coalesce(F.greatest("now", at), "now").cast("timestamp_ntz").alias("due"))
+    rows = monitor.due(watches.crossJoin(F.broadcast(now)), runs, F.col("now"))
+    return rows.select("watch", F.col("due").cast("timestamp_ntz").alias("due"))
 
 
 @query("SELECT p_partkey, rtrim(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-')[1:30], '-') AS slug FROM part")
@@ -365,10 +363,7 @@ def g5_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_custkey, o_orderkey, r::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 5")
 def g8_recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    return read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(order).alias("nth")).where("nth <= 5")
+    return monitor.newest(read(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], 5).select("o_custkey", "o_orderkey", "nth")
 
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,7 +424,7 @@ def h4_condition_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS copies FROM documents GROUP BY text")
 def h5_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+    return monitor.first_wins(read(spark, sf_dir, "documents"), "text", "doc_id").select("doc_id", "copies")
 
 
 @query(
@@ -451,4 +446,4 @@ def k10_last_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS f, count(*) FILTER (o_orderstatus = 'O')::BIGINT AS o, count(*) FILTER (o_orderstatus = 'P')::BIGINT AS p FROM orders GROUP BY 1")
 def g8_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(*[F.count_if(F.col("o_orderstatus") == s).alias(s.lower()) for s in "FOP"])
+    return monitor.change_counts(read(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", list("FOP"))

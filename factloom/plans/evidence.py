@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as t
 from factloom.functions import urls as u
-from factloom.operators import evaluation, evidence, factcheck, ledger, monitor, retrieval, sites
+from factloom.operators import evaluation, evidence, factcheck, ledger, monitor, retrieval, sites, values
 from factloom.plans.catalog import FOLDED, HOST, WORDS, query, read
 from factloom.sources import extraction, pages
 
@@ -471,13 +471,91 @@ def b15_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH m AS (SELECT max(o_orderdate) AS now FROM orders), l AS (SELECT o_custkey, max(o_orderdate) AS last FROM orders GROUP BY 1)
-SELECT c_custkey AS watch, coalesce(greatest(now, last + to_seconds(86400)), now) AS due FROM customer LEFT JOIN l ON o_custkey = c_custkey, m WHERE c_custkey % 7 <> 0"""
+    f"""WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)/', 1) AS goal, {HOST} AS host, length(html) % 100 / 100.0 - CASE WHEN contains(url, '?q=') OR contains(url, '&q=') OR contains(url, '/s?')
+OR contains(url, '/search') OR contains(url, '/sch/') OR contains(url, '/pl?') OR contains(url, '/category/') OR contains(url, '/tag/') THEN 0.15 ELSE 0 END AS rel FROM pages),
+a AS (SELECT *, ends_with(host, '.net') AS avoided FROM h), c AS (SELECT goal, count_if(rel >= 0.34) AS near, count_if(rel >= 0.34 AND NOT avoided) AS nf, count_if(NOT avoided) AS free FROM a GROUP BY 1),
+k AS (SELECT a.* FROM a JOIN c USING (goal) WHERE (near < 3 OR rel >= 0.34) AND (CASE WHEN near >= 3 THEN nf ELSE free END < 3 OR NOT avoided)),
+r AS (SELECT *, row_number() OVER (PARTITION BY goal, host ORDER BY rel DESC, page_id) AS n FROM k),
+t AS (SELECT *, row_number() OVER (PARTITION BY goal ORDER BY rel DESC, page_id) AS place FROM r WHERE n <= 2)
+SELECT goal, page_id, place::INT AS place FROM t WHERE place <= 6"""
 )
-def b23_due_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("watch"), F.col("o_orderdate").cast("timestamp").alias("started_at"))
-    now = runs.agg(F.max("started_at").alias("now"))
-    watches = read(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("watch"), t.interval_seconds(F.lit("1d")).alias("interval"), (F.col("c_custkey") % 7 == 0).alias("paused")
-    ).crossJoin(F.broadcast(now))
-    return monitor.due(watches, runs, F.col("now")).select("watch", F.col("due").cast("timestamp_ntz").alias("due"))
+def d5_select_by_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as hits of a language's goal; their length stands for relevance, one domain is avoided."""
+    host = u.hostname(F.col("url"))
+    hits = read(spark, sf_dir, "pages").select(
+        F.regexp_extract("url", "^[a-z]+://[^/]*/([a-z]+)/", 1).alias("goal"), host.alias("host"), F.col("page_id").alias("rank"), F.col("page_id").alias("pos"), "page_id",
+        (F.length("html") % 100 / 100).alias("relevance"), F.lit(0.0).alias("bonus"), u.is_listing(F.col("url")).alias("listing"), F.lit(True).alias("priced"),
+        F.endswith(host, F.lit(".net")).alias("avoided"),
+    )
+    return retrieval.select_hits(hits, 6).select("goal", "page_id", "place")
+
+
+@query(
+    """WITH v AS (SELECT l_orderkey AS run_id, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS amount, l_returnflag AS c, l_extendedprice, l_linestatus = 'O' AS trusted FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY l_linenumber, l_partkey, l_suppkey, amount, l_extendedprice) AS pos FROM v), t AS (SELECT * FROM n WHERE trusted),
+o AS (SELECT a.run_id, a.pos, median(b.amount) AS m, count(*) AS k FROM t a JOIN t b ON a.run_id = b.run_id AND a.c = b.c AND a.pos <> b.pos GROUP BY ALL)
+SELECT n.run_id, n.pos::INT AS pos, coalesce(k >= 2 AND (amount < 0.5 * m OR amount > 2.5 * m), false) AS outlier FROM n LEFT JOIN o ON n.run_id = o.run_id AND n.pos = o.pos"""
+)
+def g4_flag_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of orders as findings of runs; shipped lines are not trusted."""
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"), "l_extendedprice")
+    findings = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("run_id"), F.row_number().over(order).alias("pos"), (F.col("l_linestatus") == "O").alias("trusted"), F.col("l_quantity").cast("long").alias("amount"),
+        F.col("l_returnflag").alias("currency"), F.lit(None).cast("string").alias("unit"),
+    )
+    return values.flag_values(findings).select("run_id", "pos", "outlier")
+
+
+@query(
+    """WITH f AS (SELECT o_custkey AS run_id, count(*) AS findings, count_if(o_totalprice > 100000) AS trusted, count(DISTINCT CASE WHEN o_totalprice > 100000 THEN o_orderpriority END) AS sites,
+max(CASE WHEN o_totalprice > 100000 AND o_orderkey % 5 <> 0 THEN o_orderdate::DATE END) AS day FROM orders GROUP BY 1),
+l AS (SELECT c_custkey AS run_id, c_custkey % 2 = 0 AS news, coalesce(findings, 0) AS findings, coalesce(trusted, 0) AS trusted, coalesce(sites, 0) AS sites, day,
+CASE WHEN trusted >= 3 AND sites >= 2 AND 10 * trusted >= 7 * findings THEN 2 WHEN trusted > 0 THEN 1 ELSE 0 END AS level FROM customer LEFT JOIN f ON run_id = c_custkey)
+SELECT run_id, findings::BIGINT AS findings, trusted::BIGINT AS trusted, sites::BIGINT AS sites,
+CASE greatest(level - CASE WHEN news AND NOT coalesce(date_diff('day', day, DATE '1998-08-01') <= 400, false) THEN 1 ELSE 0 END, 0) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS level FROM l"""
+)
+def f4_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of customers as findings of runs, priorities as sites; every second run asks for news."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("source_no"), (F.col("o_totalprice") > 100000).alias("trusted"), "o_orderpriority", "o_orderdate")
+    site = F.concat(F.lit("https://s"), F.substring("o_orderpriority", 1, 1), F.lit(".com/"))
+    day = F.when(F.col("source_no") % 5 != 0, F.col("o_orderdate").cast("date"))
+    sources = orders.select("run_id", "source_no", site.alias("url"), day.alias("published"), F.lit(None).cast("date").alias("updated"))
+    runs = read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("run_id"), F.when(F.col("c_custkey") % 2 == 0, "news").otherwise("general").alias("kind"), F.lit("1998-08-01").cast("date").alias("today")
+    )
+    return monitor.assess(orders.select("run_id", "source_no", "trusted"), sources, runs, 400)
+
+
+@query(
+    """WITH o AS (SELECT p_type AS source, p_name, p_partkey, round(p_retailprice * 100)::BIGINT AS cents, row_number() OVER (PARTITION BY p_type, p_name ORDER BY p_retailprice, p_partkey) AS n FROM part)
+SELECT source, p_name AS entity, p_name || ': ' || cents || ' USD per hour' AS claim, cents AS amount FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cents, p_partkey) AS k FROM o WHERE n = 1) WHERE k <= 3"""
+)
+def g2_offer_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    offers = read(spark, sf_dir, "part").select(
+        F.col("p_type").alias("source"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("product"), F.round(F.col("p_retailprice") * 100).cast("long").alias("price"),
+        F.lit("USD").alias("currency"), F.lit("hour").alias("unit"),
+    )
+    return values.offer_findings(offers).select("source", "entity", "claim", "amount")
+
+
+@query(
+    """WITH l AS (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status, max(o_orderdate) AS began FROM orders GROUP BY 1)
+SELECT c_custkey AS watch, status AS last_status, began AS last_start FROM customer LEFT JOIN l ON o_custkey = c_custkey"""
+)
+def g8_last_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "watch")
+    rows = monitor.with_last_run(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("watch")), runs, ["o_orderstatus", "o_orderdate"], ["o_orderdate", "o_orderkey"])
+    return rows.select("watch", F.col("last.o_orderstatus").alias("last_status"), F.col("last.o_orderdate").alias("last_start"))
+
+
+@query(
+    """SELECT p_partkey, sha256(p_name || '|' || p_brand || '|' || p_size || '|USD|None|' || CASE WHEN p_size % 2 = 0 THEN 'hour' ELSE 'None' END) AS content_hash FROM part"""
+)
+def a6_offer_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    offer = F.struct(
+        F.col("p_brand").alias("product"), F.col("p_size").alias("price"), F.lit("USD").alias("currency"), F.lit(None).cast("string").alias("availability"),
+        F.when(F.col("p_size") % 2 == 0, "hour").alias("unit"),
+    )
+    return read(spark, sf_dir, "part").select("p_partkey", pages.content_hash(F.col("p_name"), F.array(offer)).alias("content_hash"))
