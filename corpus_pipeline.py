@@ -1,4 +1,8 @@
-"""A corpus from raw documents to packed sequences, in five stages."""
+"""A corpus from raw documents to packed sequences, in five stages.
+
+In all of them further columns stay until the last, whatever their names; rows are read whole at any length;
+repeated rows are rows of their own; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -9,17 +13,20 @@ from factloom.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
+    """Documents that a quality rule rejects go; null and empty texts are among them. A null doc_id does not matter."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
+    """Of each group of near copies the smallest doc_id stays; rows without a doc_id, and all rows of one that stays, stay."""
     return minhash.keep_one(docs)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes that an earlier document holds are cut; documents of which nothing is left go."""
+    """Strings of 50 bytes that a document of smaller doc_id holds are cut; documents of which nothing is left go.
+
+    Rows without a doc_id stay whole; texts under one doc_id do not cut each other.
+    """
     return substrings.without_repeats(docs).where("text <> ''")
 
 
@@ -31,7 +38,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are packed into sequences of 4096 tokens."""
+    """Documents are packed into sequences of 4096 tokens; rows without a doc_id are packed too."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -45,8 +52,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Alignment, the forest and the packing cannot be told in SQL. Tests hold the stages one by one, op4 against all pairs;
-#: of run() they check which doc_ids stay.
+#: Alignment, the forest and the packing cannot be told in SQL. A test holds the rows of run() against a plain-Python version of
+#: the five stages, where the packed places are free.
 ORACLE_SQL = None
 
 
