@@ -50,7 +50,7 @@ def f1_verify_nearly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.verify(findings, turns(spark, sf_dir))
 
 
-MASKED = "regexp_replace(text, '\\b([A-Za-z]|Dr|Mr|Mrs|Ms|St|No|vs)\\.', '\\1' || chr(1), 'g')"
+MASKED = "regexp_replace(text, '(^|[^\\p{L}\\p{N}_])([A-Za-z]|Dr|Mr|Mrs|Ms|St|No|vs)\\.', '\\1\\2' || chr(1), 'g')"
 PIECES = f"string_split(regexp_replace(regexp_replace({MASKED}, '([.!?])(\\s)', '\\1' || chr(2) || '\\2', 'g'), '\\n([^\\n])', chr(10) || chr(2) || '\\1', 'g'), chr(2))"
 
 
