@@ -235,3 +235,56 @@ def test_keyed_streams_equal_batches(spark, tmp_path):
         want.append((watch, key, n, "new" if before is None else "changed" if before != amount else "same", amount, before, holds and not held))
         state[key] = (amount, holds)
     assert sorted(map(tuple, spark.table("alerts").collect()), key=lambda x: x[2]) == want
+
+
+def test_merge_hits_equals_a_plain_walk(spark):
+    r = random.Random(7)
+    hits = [(g, k, n, f"http://{r.choice('ab')}.com/{r.choice('uvwxyz')}{r.choice(['', '/', '?utm_source=q', '#top'])}", r.choice(["T", "t ", "U", "V", "W x"])) for g in range(4) for k in range(3) for n in range(1, 13)]
+    want = set()
+    for g in range(4):
+        seen, kept = set(), []
+        for _, k, n, url, title in sorted((h for h in hits if h[0] == g), key=lambda h: (h[2], h[1])):
+            host, path = url[7:12], url[12:].split("?")[0].split("#")[0].rstrip("/")
+            keys = {f"http://{host}{path or '/'}", f"{host}|{title.strip().lower()}"}
+            if not keys & seen and len(kept) < 6:
+                seen |= keys
+                kept.append((g, len(kept) + 1, url, k, n))
+        want |= set(kept)
+    got = retrieval.merge_hits(spark.createDataFrame(hits, "goal int, list_no int, rank int, url string, title string"), 6)
+    assert set(rows(got)) == want
+
+
+def test_pack_equals_a_plain_walk(spark):
+    import math
+
+    r = random.Random(8)
+    words = "alpha beta gamma delta eps zeta eta theta".split()
+    texts = [(g, s, ". ".join(" ".join(r.choice(words) for _ in range(r.randint(2, 6))) for _ in range(r.randint(1, 9)))) for g in range(3) for s in range(4)]
+    asked = {g: r.sample(words, 3) for g in range(3)}
+    chunks = {(g, s): one(spark, lambda c: t.split_chunks(c, 40), text)[0] for g, s, text in texts}
+    want = set()
+    for g in range(3):
+        mine = [(s, p, c, [w.strip(".") for w in c.split()]) for (h, s), parts in chunks.items() if h == g for p, c in enumerate(parts)]
+        average = sum(len(w) for *_, w in mine) / len(mine)
+
+        def score(s, p, w, mine=mine, average=average, g=g):
+            total = 0.0
+            for term in asked[g]:
+                n, tf = sum(term in x for *_, x in mine), w.count(term)
+                total += math.log(1 + (len(mine) - n + 0.5) / (n + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / average)) if tf else 0
+            return round(total, 6) + (0.5 if p == 0 else 0.0)
+
+        scored = sorted(((-score(s, p, w), s, p, len(c)) for s, p, c, w in mine))
+        first = {}
+        for x in scored:
+            first.setdefault(x[1], x)
+        leads = sorted(first.values())
+        used, by, taken = 0, {}, set()
+        for _, s, p, n in [*leads, *(x for x in scored if x not in leads)]:
+            if used + n <= 200 and by.get(s, 0) + n <= 90:
+                used, by[s] = used + n, by.get(s, 0) + n
+                taken.add((g, s, p))
+        want |= taken
+    frame = spark.createDataFrame(texts, "goal int, source int, text string")
+    got = retrieval.pack(frame, spark.createDataFrame(list(asked.items()), "goal int, tokens array<string>"), 200, 90, 40)
+    assert {(x["goal"], x["source"], x["position"]) for x in got.collect()} == want
