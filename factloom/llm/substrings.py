@@ -31,8 +31,8 @@ from factloom.llm.common import free_name, partitions, table, written
 LENGTH = 50
 GRAM = 24
 REACH = LENGTH - GRAM
-#: Bytes of text whose samples a task sorts at a time.
-BATCH = 32 << 20
+#: Samples that a task sorts at a time: about 4 MB of text, and some 80 MB of memory.
+BATCH = 300_000
 #: Windows of a long text that are looked at together.
 PART = 2 << 20
 #: Of texts in a group, about.
@@ -215,7 +215,7 @@ def sampled(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
                     at = at[np.r_[True, at[1:] != at[:-1]]]
                     h, c = samples(at)
                     store.append((h, c, np.full(len(at), doc), np.full(len(at), tag), at.astype(np.uint32)))
-                    held += 14 * len(at)
+                    held += len(at)
                     if held >= BATCH:
                         yield pd.DataFrame(flush(store), columns=["place", "kind", "blob"])
                         store, held = [], 0
