@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as t
 from factloom.functions import urls as u
-from factloom.operators import evaluation, evidence, factcheck, ledger, monitor, retrieval, sites, values
+from factloom.operators import delivery, evaluation, evidence, factcheck, ledger, monitor, retrieval, sites, values
 from factloom.plans.catalog import FOLDED, HOST, WORDS, query, read
 from factloom.sources import extraction, pages
 
@@ -559,3 +559,16 @@ def a6_offer_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_size") % 2 == 0, "hour").alias("unit"),
     )
     return read(spark, sf_dir, "part").select("p_partkey", pages.content_hash(F.col("p_name"), F.array(offer)).alias("content_hash"))
+
+
+@query(
+    """SELECT o_custkey AS watch, count(*)::BIGINT AS alerts, string_agg('- ' || o_orderpriority || ' u' || o_orderkey, chr(10) ORDER BY o_orderdate, o_orderkey) AS digest FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 GROUP BY 1"""
+)
+def k7_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as alerts: a third is delivered, a fifth is marked now, the rest goes into digests."""
+    key = F.col("o_orderkey")
+    alerts = read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("watch"), key.alias("alert_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("reason"),
+        F.concat(F.lit("u"), key.cast("string")).alias("url"), (key % 3 == 0).alias("delivered"),
+    )
+    return delivery.digests(delivery.marked(alerts, alerts.where("alert_id % 5 = 0")).where("NOT delivered"))

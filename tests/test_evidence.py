@@ -288,3 +288,16 @@ def test_pack_equals_a_plain_walk(spark):
     frame = spark.createDataFrame(texts, "goal int, source int, text string")
     got = retrieval.pack(frame, spark.createDataFrame(list(asked.items()), "goal int, tokens array<string>"), 200, 90, 40)
     assert {(x["goal"], x["source"], x["position"]) for x in got.collect()} == want
+
+
+def test_writers(spark, tmp_path):
+    from factloom.sources import pages
+
+    ratings = spark.createDataFrame([(2, 1, "good", 1), (1, 1, "bad", 0)], "run_id int, number int, verdict string, rated_at int")
+    pages.write_ratings(ratings.coalesce(1), str(tmp_path / "ratings"))
+    lines = [x for f in sorted((tmp_path / "ratings").glob("part*")) for x in f.read_text().splitlines()]
+    assert [x.split('"verdict":"')[1].split('"')[0] for x in lines] == ["bad", "good"]
+    points = spark.createDataFrame([("=1+1", 5, "USD"), ("plain", 6, None)], "label string, amount int, currency string")
+    pages.write_observations(points.coalesce(1), str(tmp_path / "points"))
+    got = spark.read.csv(str(tmp_path / "points"), header=True).collect()
+    assert sorted(r["label"] for r in got) == ["'=1+1", "plain"]
