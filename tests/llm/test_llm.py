@@ -300,9 +300,10 @@ def test_html_mixed_templates(spark):
         "<html><body><nav>Menu</nav><div id=content><p>Two</div>",
         "<html><body><nav>Menu</nav><main><p>Three</main><p>Side text",
         "<html><body><p>Four<div class=sidebar>Gone</div>",
+        "<html><body><article><h2 class='section-header'>Five</h2><p class='advert'>Gone</p><p class='lead share'>Six</p></article>",
     ]
     df = spark.createDataFrame([(i, f"http://a.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
-    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {0: "One", 1: "Two", 2: "Three", 3: "Four"}
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {0: "One", 1: "Two", 2: "Three", 3: "Four", 4: "Five\n\nSix"}
 
 
 def test_quality(docs):
