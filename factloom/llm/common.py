@@ -184,3 +184,44 @@ def by_block(rows: DataFrame, prepare, pairs, groups: int) -> DataFrame:
 
     dealt = F.pmod("block", F.lit(groups)).alias("dealt")
     return rows.groupBy(dealt).applyInPandas(run, "a long, b long").distinct()
+
+
+def key_of(name: str):
+    """A string that is never null and tells null ids from all others; id_of() is its inverse."""
+    return F.when(F.col(name).isNull(), "").otherwise(F.concat(F.lit("="), F.col(name).cast("string")))
+
+
+def id_of(key: str, kind: str):
+    return F.when(F.col(key) != "", F.substring(key, 2, 2**31 - 1)).cast(kind)
+
+
+def in_order(rows: DataFrame, key: str, order: list[str], sent: list, schema: str, start, take, end) -> DataFrame:
+    """The rows that end(key, state) gives for each key, once take(state, columns, a, b) has seen all its rows by `order`.
+
+    A key's rows stream through one task; of a large one, only a batch and the state are in memory.
+    columns are lists of what is `sent` beside the key, of which rows a to b - 1 are the key's.
+    """
+    import numpy as np
+    import pandas as pd
+
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def run(batches):
+        now, state = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns, out = {c: batch[c].tolist() for c in batch.columns}, []
+            keys = batch[key].to_numpy(object)
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist()
+            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if state is None or keys[a] != now:
+                    if state is not None:
+                        out.extend(end(now, state))
+                    now, state = keys[a], start()
+                take(state, columns, a, b)
+            yield pd.DataFrame(out, columns=names)
+        if state is not None:
+            yield pd.DataFrame(end(now, state), columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).select(key, *sent).mapInPandas(run, schema)

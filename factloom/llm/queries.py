@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from factloom.llm import bpe, embeddings, html_text, minhash, packing, quality, secrets, sharding, substrings, urls
+from factloom.llm import bpe, embeddings, html_text, minhash, packing, quality, repair, secrets, sharding, substrings, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_html": html_text.op8_html,
     "op9_quality": quality.op9_quality,
     "op10_urls": urls.op10_urls,
+    "op11_repair": repair.op11_repair,
 }
-ORACLES = {"op2_embeddings": embeddings.SQL, "op9_quality": quality.SQL}
+ORACLES = {"op2_embeddings": embeddings.SQL, "op9_quality": quality.SQL, "op11_repair": repair.SQL}
