@@ -18,31 +18,33 @@ PART = 1024
 #: States of the role initials: none yet, after s, after u, after a. What may follow each, and where an inserted turn leads.
 NEXT = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
 WANTED = "uuau"
+NEVER = 2**60
 WHOLE = (0, 3)
 ROLES = {"u": "user", "a": "assistant"}
 
 
-def bounds(rows: list[tuple], exits: tuple[int, ...]) -> list[tuple[int, int]]:
-    """Of each suffix the least cost where a user (first) or an assistant (second) is wanted, if s could stand anywhere.
+def bounds(rows: list[tuple], exits: tuple[int, ...]) -> list[list[int]]:
+    """For each suffix, what its rows cost at least from each state on. Which edits come first in the audit is left aside."""
 
-    Leaving that rule out, and where the path may end by its wanted role alone, makes it a lower bound.
-    """
-    ends = {WANTED[q] for q in exits}
-    user, assistant = (0 if w in ends else INSERT for w in "ua")
-    out = [(user, assistant)]
+    def with_inserts(least: list[int]) -> list[int]:
+        for _ in range(3):
+            least = [min(x, INSERT + least[NEXT[q][WANTED[q]]]) for q, x in enumerate(least)]
+        return least
+
+    least = with_inserts([0 if q in exits else NEVER for q in range(4)])
+    out = [least]
     for letter, forced, extra, copies in reversed(rows):
+        gone = DELETE * copies
         if forced:
-            user, assistant = user + DELETE * copies, assistant + DELETE * copies
+            least = [gone + x for x in least]
         else:
-            more = extra + DELETE * (copies - 1)
-            first, second = min(DELETE - extra + user, REROLE + assistant), min(DELETE - extra + assistant, REROLE + user)
-            if letter in ("s", "u"):
-                first = min(first, user if letter == "s" else assistant)
-            elif letter == "a":
-                second = min(second, user)
-            user, assistant = more + first, more + second
-        user, assistant = min(user, INSERT + assistant), min(assistant, INSERT + user)
-        out.append((user, assistant))
+            stays = extra + gone - DELETE
+            least = [
+                min(gone + least[q], stays + REROLE + least[NEXT[q][WANTED[q]]], stays + least[NEXT[q][letter]] if letter in NEXT[q] else NEVER)
+                for q in range(4)
+            ]
+        least = with_inserts(least)
+        out.append(least)
     return out[::-1]
 
 
@@ -61,11 +63,11 @@ def search(rows: list[tuple], entry: int = 0, exits: tuple[int, ...] = WHOLE) ->
     n = len(rows)
 
     def worse(bound: int, audit: str) -> bool:
-        return best is not None and (bound > best[0] or bound == best[0] and audit > best[1][: len(audit)])
+        return bound >= NEVER or best is not None and (bound > best[0] or bound == best[0] and audit > best[1][: len(audit)])
 
     while stack:
         i, q, cost, audit = stack.pop()
-        if table.get((i, q), (cost, audit)) < (cost, audit) or worse(cost + least[i][WANTED[q] == "a"], audit):
+        if table.get((i, q), (cost, audit)) < (cost, audit) or worse(cost + least[i][q], audit):
             continue
         if i == n and q in exits and (best is None or (cost, audit) < best):
             best = (cost, audit)
@@ -83,7 +85,7 @@ def search(rows: list[tuple], entry: int = 0, exits: tuple[int, ...] = WHOLE) ->
         open_ = []
         for child in children:
             j, p, c, a = child
-            bound = c + least[j][WANTED[p] == "a"]
+            bound = c + least[j][p]
             if worse(bound, a) or ((j, p) in table and table[j, p] <= (c, a)):
                 continue
             table[j, p] = (c, a)
