@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from factloom.llm import bpe, embeddings, html_text, minhash, packing, quality, repair, secrets, sharding, substrings, urls
+from factloom.llm import bpe, chat, embeddings, html_text, minhash, packing, quality, repair, secrets, sharding, substrings, urls, whitening
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -14,5 +14,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_urls": urls.op10_urls,
     "op11_repair": repair.op11_repair,
+    "op12_chat": chat.op12_chat,
+    "op13_whitening": whitening.op13_whitening,
 }
-ORACLES = {"op2_embeddings": embeddings.SQL, "op9_quality": quality.SQL, "op11_repair": repair.SQL}
+ORACLES = {"op2_embeddings": embeddings.SQL, "op9_quality": quality.SQL, "op11_repair": repair.SQL, "op12_chat": chat.SQL}
