@@ -93,14 +93,15 @@ def tree(conversations: DataFrame) -> Tree:
     ends = rows.where("last").select("key", "k", *node)
     stands = ends.groupBy(node).agg(F.min("key").alias("key"), F.max("k").alias("turns"))
     light = rows.select("key", "k", "n_chars", *node).join(stands.select("key"), "key", "left_semi")
-    shared = light.groupBy(node).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = written(light.groupBy(node).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")  # so Spark can split a turn that very many share
     path = light.join(shared, node).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", *node))).alias("path"))
     ranked = stands.join(path, "key", "left").orderBy(F.col("path").asc_nulls_first(), "turns", "key")
     # ranks grow along the sort: its partition is in the upper 31 bits
     ranked = written(ranked.select("key", *node, F.monotonically_increasing_id().alias("path")), "ranks")
     light = written(light.join(ranked.select("key", "path"), "key"), "light")
-    spans = light.groupBy(node).agg(F.min("path").alias("run"), F.max("path").alias("last"))
-    new = light.join(spans, node).where("path = run").select("key", "k", "n_chars", *node, "run", "last", F.shiftright("run", 33).alias("part"))
+    first = F.min_by(F.struct("key", "k", "n_chars"), "path").alias("first")
+    new = light.groupBy(node).agg(F.min("path").alias("run"), F.max("path").alias("last"), first)
+    new = new.select("first.*", *node, "run", "last", F.shiftright("run", 33).alias("part"))
     sizes = new.groupBy("part").agg(F.sum("n_chars").alias("size"))
     parts = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))  # one row for each partition of the sort
     place = F.sum("n_chars").over(Window.partitionBy("part").orderBy("run", "k")) - F.col("n_chars")
