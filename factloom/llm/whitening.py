@@ -13,6 +13,8 @@ from factloom.llm.common import table, written
 
 MOST = 32
 SCALE, SHIFT = 64, 1_000_000
+#: Entries from here on count as non-finite: their x would not fit a long.
+BOUND = 2.0**56
 #: Rows of a block, of 8 bytes a dimension.
 BLOCK = 4096
 #: A triplet counts as converged, and a direction as exhausted, at this share of the largest singular value.
@@ -20,11 +22,11 @@ CLOSE = 1e-14
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """The rows whose vector is neither null nor empty and holds no null or non-finite entry, with x as array of long."""
-    x = F.transform("embedding", lambda c: F.floor(c.cast("double") * SCALE).cast("long") + SHIFT)
-    finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).where(finite)
-    return rows.select(F.col("vec_id").cast("string").alias("vec_id"), x.alias("x"))
+    """The rows whose vector is neither null nor empty and holds no null, non-finite or boundless entry, with x as array of long."""
+    fits = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < BOUND)
+    x = F.transform("embedding", lambda c: F.when(fits(c), F.floor(c.cast("double") * SCALE).cast("long") + SHIFT))
+    whole = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", fits)
+    return vectors.where(whole).select(F.col("vec_id").cast("string").alias("vec_id"), x.alias("x"))
 
 
 def sums(x: DataFrame) -> tuple[int, np.ndarray]:
