@@ -7,6 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from factloom.functions import align
 from factloom.functions import text as t
 from factloom.functions import urls as u
 from factloom.operators import evaluation, evidence, factcheck, ledger, retrieval, sites
@@ -103,7 +104,7 @@ def test_longest_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        assert evidence.common(a, b) == best[-1][-1]
+        assert align.common(a, b) == best[-1][-1]
 
 
 PAGE = """<html><head><title> Shop </title><meta property="article:published_time" content="2024-05-06T00:00"><meta property="og:site_name" content="Site">
@@ -301,3 +302,106 @@ def test_writers(spark, tmp_path):
     pages.write_observations(points.coalesce(1), str(tmp_path / "points"))
     got = spark.read.csv(str(tmp_path / "points"), header=True).collect()
     assert sorted(r["label"] for r in got) == ["'=1+1", "plain"]
+
+
+def test_reworded_equals_the_plain_walk(spark):
+    """Statements of one site choose in order, at any number of them, ties included."""
+    r = random.Random(11)
+    words = "the big firm opened twelve new shops in town today again".split()
+    said = lambda n: [" ".join(r.sample(words, r.randint(6, len(words)))) + r.choice(["", " 77"]) for _ in range(n)]
+    new, old = said(40), said(40)
+    old[5] = old[9] = new[3]  # ties
+    met = {3: 2, 7: 30}  # statements that a fact of the run is itself, by the place of that fact
+    facts = [("w", k, f"n{k:02}", "s.com", x) for k, x in enumerate(new)]
+    known = [("w", f"o{k:02}", "s.com", x, met.get(k)) for k, x in enumerate(old)]
+    got = ledger.reworded(
+        spark.createDataFrame(facts + [("v", 0, "n00", "s.com", new[0])], "watch string, pos int, key string, site string, wording string"),
+        spark.createDataFrame(known + [("v", "o00", "t.com", new[0], None)], "watch string, key string, site string, wording string, met_at int"),
+    )
+    used, want = set(), []
+    for k, x in enumerate(new):
+        best = None
+        for j, y in enumerate(old):
+            if j in used or met.get(j, 99) <= k or ("77" in x) != ("77" in y):
+                continue
+            score = align.words_alike(x, y)
+            if score >= ledger.REWORDED and (best is None or score > best[0]):
+                best = (score, j)
+        if best:
+            used.add(best[1])
+            want.append(("w", f"n{k:02}", f"o{best[1]:02}"))
+    assert len(want) > 25 and sorted(tuple(x)[:3] for x in got.collect()) == sorted(want)
+    twins = spark.createDataFrame([("w", k, f"n{k:02}", "s.com", "all the same words") for k in range(40)], "watch string, pos int, key string, site string, wording string")
+    others = spark.createDataFrame([("w", f"o{k:02}", "s.com", "all the same words", None) for k in range(40)], "watch string, key string, site string, wording string, met_at int")
+    assert sorted((x.key[1:], x.old_key[1:]) for x in ledger.reworded(twins, others).collect()) == [(f"{k:02}", f"{k:02}") for k in range(40)]
+
+
+def test_diff_of_published_offers(spark):
+    """Offers are followed by folded names, or their page's title; their price lines are evidence too."""
+    offer = lambda product, price: (product, Decimal(price), "USD", None, "InStock")
+    of = "watch string, url string, text string, offers array<struct<product:string,price:decimal(38,10),currency:string,unit:string,availability:string>>, title string"
+    structured = lambda key, entity, price: ("w", key, "c", "schema.org offer", "http://s.com/1", entity, price, Decimal(price), "USD", None, True, "InStock")
+    frame = spark.createDataFrame
+    quoted = ("w", "text|s.com|9", "it is priced", "- straße  x: 5 USD, InStock", "http://s.com/1", None, None, None, None, None, False, None)
+    old = frame([structured("a", "STRASSE X", "5"), structured("b", "Shop", "7"), structured("c", "gone", "9"), structured("d", "Repriced", "3"), quoted], FACT)
+    now = frame([("w", "http://s.com/1", "Deals.", [offer("Straße  x", "5"), offer(None, "7"), offer("ﬁne", "2"), offer("repriced", "4")], "SHOP")], of)
+    new = frame([structured("e", "Fine", "2")], FACT)
+    got = ledger.diff(old, new, now, now).select("key", "change")
+    assert sorted(rows(got)) == [("a", "same"), ("b", "same"), ("c", "gone"), ("e", "noticed"), ("text|s.com|9", "same")]
+
+
+def test_near_windows_equal_all_windows():
+    """best_window() against the alignment of every stretch."""
+    r, hits = random.Random(1), 0
+
+    def plain(short, long, least=0.9):
+        n, m, best, where = len(short), len(long), least, None
+        for a, b in [(0, k) for k in range(1, n)] + [(i, i + n) for i in range(m - n + 1)] + [(i, m) for i in range(m - n + 1, m)]:
+            share = 2 * align.common(short, long[a:b]) / (n + b - a)
+            if share > best or share == best and where is None:
+                best, where = share, (a, b)
+        return None if where is None else (*where, best)
+
+    for _ in range(800):
+        letters = "abcde "[: r.randint(2, 6)]
+        some = lambda n: "".join(r.choice(letters) for _ in range(n))
+        quote = some(r.randint(3, 40))
+        x = list(quote)
+        for _ in range(r.randint(0, len(quote) // 8 + 1)):
+            k = r.randrange(len(x) + 1)
+            x[k : k + r.randint(0, 1)] = some(r.randint(0, 1))
+        text = some(r.randint(0, 30)) + "".join(x) + some(r.randint(0, 30))
+        if len(text) >= len(quote):
+            assert align.best_window(quote, text) == plain(quote, text)
+            hits += plain(quote, text) is not None
+    assert hits > 300
+
+
+def test_near_quotes_over_a_corpus_find_all(spark):
+    """Every pair that alignment of all places finds passes the count of pieces."""
+    r = random.Random(2)
+    words = [a + b for a in "ka lo mi ne pu ra so ti".split() for b in "ben dor fal gim".split()]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(3, 120))) for _ in range(60)] + ["", "Total 1,999 USD for all of it here", None]
+    quotes = []
+    for k in range(80):
+        t = texts[k % 60]
+        a = r.randrange(max(1, len(t) - 15))
+        q = list(t[a : a + r.randint(12, 90)])
+        for _ in range(r.randint(0, max(1, len(q) // 10))):
+            j = r.randrange(len(q) + 1)
+            q[j : j + r.randint(0, 1)] = r.choice(["", "x", "e"])
+        quotes.append("".join(q).upper())
+    quotes += ["Total 1,999 USD for all of i here", "Total 1,899 USD for all of it here", "short", None]
+    q = spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {(x.quote_id, x.doc_id): x.span for x in retrieval.near_quotes(q, d).collect()}
+    want = {}
+    for i, quote in enumerate(quotes):
+        quote = " ".join((quote or "").lower().split())[:400]
+        for j, text in enumerate(texts):
+            text = " ".join((text or "").lower().split())
+            if 12 <= len(quote) <= len(text):
+                span = (text.find(quote), text.find(quote) + len(quote)) if quote in text else align.nearest(text, quote)
+                if span and (i, j) != (81, 61):
+                    want[i, j] = text[span[0] : span[1]]
+    assert (80, 61) in want and len(want) > 60 and got == want
