@@ -120,7 +120,7 @@ def test_entities(spark):
     assert sorted(rows(found), key=str) == [("RTX 5090", 1999, "USD", None, "hour"), ("RTX 5090", 2099, "USD", "InStock", "hour"), ("Y", 5, None, None, None)]
     day = datetime.date
     assert rows(extraction.page_dates(pages), "url") == [
-        ("https://b.org/2020/03/04/a", day(2020, 3, 4), None), ("https://c.org/x", day(2023, 1, 1), None),
+        ("https://b.org/2020/03/04/a", day(2020, 3, 4), None), ("https://c.org/x", None, None),
         ("https://www.s.com/2020/03/04/a", day(2024, 1, 2), day(2024, 1, 3)),
     ]
     assert rows(extraction.page_names(pages), "url")[2] == ("https://www.s.com/2020/03/04/a", "Shop", "Site", None)
@@ -129,6 +129,47 @@ def test_entities(spark):
     ]
 
 
+def page_of(*blocks, body=""):
+    return "<html><head>" + "".join(f'<script type="application/ld+json">{b}</script>' for b in blocks) + f"</head><body>{body}</body></html>"
+
+
+def test_offers_anywhere_in_json(spark):
+    """Products in lists, graphs and other entities; offers in offers at any depth, each once; prices as text or numbers."""
+    nested = '{"@type":"Offer","price":7}'
+    for k in range(6, 0, -1):
+        nested = f'{{"@type":"AggregateOffer","lowPrice":"{k}","offers":[{nested}]}}'
+    blocks = {
+        "list": '{"@type":"ItemList","itemListElement":[{"@type":"ListItem","item":{"@type":"Product","name":" A ","offers":{"@type":"Offer","price":"1.299,00 \\u20ac","priceCurrency":"eur"}}}]}',
+        "main": '{"@type":"WebPage","mainEntity":{"@type":["Thing","http://schema.org/Product"],"name":"B","offers":[{"price":22.90,"priceCurrency":"US"},{"price":0},{"price":true},"x"]}}',
+        "deep": f'{{"@type":"Product","name":"C","offers":{nested}}}',
+        "graph": '{"@graph":[[{"@graph":[{"@type":"Offer","price":-1,"priceSpecification":[{"price":"5 USD","unitText":"per month","priceCurrency":"USD"}],"itemOffered":{"name":"D"}}]}]]}',
+        "context": '{"@context":{"x":{"@type":"Offer","price":3}},"@type":"Thing"}',
+        "bad": "{nope",
+    }
+    pages = spark.createDataFrame([(k, page_of(b)) for k, b in blocks.items()] + [("none", None), ("empty", "")], "url string, html string")
+    got = [(r.url, r["product"], str(r.price.normalize()), r.currency, r.unit) for r in extraction.offers(pages).orderBy("url", "at").collect()]
+    assert got == [
+        *[("deep", "C", str(k), None, None) for k in range(1, 8)], ("graph", "D", "5", "USD", "month"), ("list", "A", "1299", "EUR", None), ("main", "B", "22.9", None, None),
+    ]
+    assert sorted(r.url for r in extraction.entities(pages).collect()) == ["context", "deep", "graph", "list", "main"]
+
+
+def test_dates_and_names_by_scope(spark):
+    body = '<div class="comment"><time datetime="2021-05-05">x</time></div><article><p><time datetime="2022-06-06">y</time></p></article><time pubdate datetime="2020-01-01">'
+    pages = spark.createDataFrame([
+        ("https://a.org/1", page_of(body=body)), ("https://a.org/2", page_of(body=body.split("<article>")[0])), ("https://a.org/2024/05/x", page_of(body=body.split("<article>")[0])),
+        ("https://a.org/3", "<meta content='2019-02-03' name=DATE><meta content=' By me ' name=author><meta content='Own' property=og:title><title>T &amp; t</title>"),
+        ("https://a.org/4", page_of('[{"@type":"Article"},{"@type":"BlogPosting","dateModified":"2018-01-01T00:00"}]', body=body) + "<title>T &amp; t</title>"), ("https://a.org/5", None),
+    ], "url string, html string")
+    day = datetime.date
+    assert rows(extraction.page_dates(pages), "url") == [
+        ("https://a.org/1", day(2022, 6, 6), None), ("https://a.org/2", None, None), ("https://a.org/2024/05/x", day(2024, 5, 1), None), ("https://a.org/3", day(2019, 2, 3), None),
+        ("https://a.org/4", day(2022, 6, 6), day(2018, 1, 1)), ("https://a.org/5", None, None),
+    ]
+    names = {r.url[-1]: (r.title, r.site, r.author) for r in extraction.page_names(pages).collect()}
+    assert names["3"] == ("Own", "a.org", "By me") and names["4"] == ("T & t", "a.org", None) and names["5"] == (None, "a.org", None)
+
+
 FACT = "watch string, key string, claim string, quote string, url string, entity string, value string, amount decimal(38,10), currency string, unit string, structured boolean, availability string"
 SEEN = "watch string, url string, text string, offers array<struct<product:string,price:decimal(38,10)>>, title string"
 

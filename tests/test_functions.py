@@ -29,9 +29,16 @@ def test_numbers(spark):
 
 
 def test_prices(spark):
-    amount = one(spark, lambda x: t.parse_price(x)[0], "$1,999.99", "22,90 €", "1999 USD", "none", "$84.7K")
-    assert amount == [Decimal("1999.99"), Decimal("22.90"), Decimal(1999), None, Decimal(84700)]
-    assert one(spark, lambda x: t.parse_price(x)[1], "$1,999.99", "22,90 €", "1999 USD") == ["USD", "EUR", "USD"]
+    told = {
+        "$1,999.99": ("1999.99", "USD"), "Rs. 1,66,269.38": ("166269.38", "INR"), "₹38,641": ("38641", "INR"), "22,90 €": ("22.90", "EUR"), "1999 USD": ("1999", "USD"),
+        "about 2000": ("2000", None), "$83K": ("83000", "USD"), "$84.7k": ("84700", "USD"), "$1.2M": ("1200000", "USD"), "$1,999 MSRP": ("1999", "USD"),
+        "$15 per 1M tokens": ("15", "USD"), "$599 for the 4K model": ("599", "USD"), "$1,999 (2 m cable)": ("1999", "USD"), "$0.053 per hour": ("0.053", "USD"),
+        "rtx 5090 $1,999": ("1999", "USD"), "3 for $20": ("20", "USD"), "1.299,00": ("1299", None), "22,90 EUR": ("22.90", "EUR"), "1 299,00 €": ("1299", "EUR"),
+        "5% off, now 80": ("80", None), "US$ 7": ("7", "USD"), "84.7K USD": ("84700", "USD"), "USD 5": ("5", "USD"), "none": (None, None), "": (None, None),
+    }
+    amounts, currencies = (one(spark, lambda x, i=i: t.parse_price(x)[i], *told, None) for i in (0, 1))
+    assert [None if a is None else Decimal(a) for a, _ in told.values()] == amounts[:-1] and amounts[-1] is None
+    assert [c for _, c in told.values()] == currencies[:-1] and currencies[-1] is None
 
 
 def test_units_and_intervals(spark):
