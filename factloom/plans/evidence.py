@@ -230,7 +230,10 @@ def c5_page_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.page_dates(rows, "url_id")
 
 
-@query(f"SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '[ \\t]+', ' ', 'g')), '') AS title, {HOST} AS site FROM pages")
+TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"
+
+
+@query(f"SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace({TITLE}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t]+', ' ', 'g')), '') AS title, {HOST} AS site FROM pages")
 def c6_page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.page_names(read(spark, sf_dir, "pages"), "page_id").select("page_id", "title", "site")
 
@@ -338,7 +341,7 @@ def k4_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda c: F.lit(None).cast("string").alias(c)
     deltas = orders.withColumn("old", old).select(
         F.col("o_custkey").alias("watch"), F.col("o_orderkey").alias("key"), F.when(F.col("old").isNull(), "new").otherwise("changed").alias("change"),
-        F.lit(False).alias("baseline"), F.lit("s").alias("site"), F.lit("c").alias("claim"), *map(none, ("quote", "value", "entity", "availability", "currency", "unit", "old_value")),
+        F.lit(False).alias("baseline"), F.lit("s").alias("site"), F.lit("c").alias("claim"), *map(none, ("quote", "value", "entity", "availability", "currency", "unit", "old_value", "old_currency", "old_unit")),
         F.lit(False).alias("structured"), F.round("o_totalprice").cast("decimal(20,0)").alias("amount"), F.col("old").cast("decimal(20,0)").alias("old_amount"),
     )
     literal = F.array(*[F.struct(

@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.window import Window
 
+from factloom.operators import watch
 from factloom.operators.sites import FAILURES
+from factloom.sources import versions
 
 
 def new_versions(pages: DataFrame, at: str = "fetched_at", kept: str = "90 days") -> DataFrame:
@@ -55,7 +58,7 @@ def site_health_stream(log: DataFrame) -> DataFrame:
 ALERT = "watch string, key string, run_id long, change string, amount double, previous double, starts boolean"
 
 
-def watch_stream(facts: DataFrame) -> DataFrame:
+def condition_stream(facts: DataFrame) -> DataFrame:
     """(watch, key, run_id, change, amount, previous, starts) of a stream of facts (watch, key, run_id, amount, holds).
 
     Each fact of a watch is state of its own: its last amount, and whether its condition held. A fact is
@@ -75,3 +78,36 @@ def watch_stream(facts: DataFrame) -> DataFrame:
 
     rows = facts.where("amount IS NOT NULL").select("watch", "key", "run_id", "amount", F.coalesce("holds", F.lit(False)).alias("holds"))
     return rows.groupBy("watch", "key").applyInPandasWithState(step, ALERT, "amount double, held boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def watch_stream(runs: DataFrame, rules: DataFrame, folder: str, checkpoint: str):
+    """Starts the query that applies a stream of runs (watch.RUN) to ledgers, alerts and observations in `folder`.
+
+    Each trigger's runs go through watch.apply_run() in the order of their time, the n-th of every watch together, and become
+    one version of all tables, published once it is whole under the trigger's number. So a trigger that fails and is
+    repeated, or a restart from the checkpoint, alerts nobody twice, and what a watch knows always fits its alerts.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        last = versions.published(spark, folder)
+        if last is not None and last[0] >= number:
+            return
+        path = last[1] if last else None
+        nth = F.row_number().over(Window.partitionBy("watch").orderBy("at", "run_id"))
+        inbox = versions.stored({"runs": batch.withColumn("nth", nth)}, folder, f"inbox-{number}")
+        arrived = spark.read.parquet(f"{inbox}/runs")
+        most = arrived.agg(F.max("nth")).first()[0] or 0
+        for n in range(1, most + 1):
+            state = watch.apply_run(versions.load(spark, path, watch.STATE), arrived.where(F.col("nth") == n).drop("nth"), rules)
+            path = versions.stored(state, folder, f"v{number}-{n}")
+        if most:
+            versions.publish(spark, folder, number, path)
+
+    return runs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def watch_state(spark, folder: str) -> dict[str, DataFrame]:
+    """The tables (watch.STATE) that watch_stream() published last."""
+    last = versions.published(spark, folder)
+    return versions.load(spark, last[1] if last else None, watch.STATE)

@@ -270,7 +270,7 @@ def test_keyed_streams_equal_batches(spark, tmp_path):
     for part in (facts[:11], facts[11:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "facts"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "facts"))
-    streams.watch_stream(source).writeStream.format("memory").queryName("alerts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start().awaitTermination()
+    streams.condition_stream(source).writeStream.format("memory").queryName("alerts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start().awaitTermination()
     state, want = {}, []
     for watch, key, n, amount, holds in facts:
         before, held = state.get(key, (None, False))
