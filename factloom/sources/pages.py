@@ -55,6 +55,27 @@ def fresh(rows: DataFrame, now: Column, version: Column | None = None, watch: Co
     return rows.where((age >= 0) & (age < life) & current)
 
 
+def search_key(engine: Column, news: Column, region: Column, recency: Column, results: Column, query: Column) -> Column:
+    """What a search is cached under (a fixed format)."""
+    kind = F.when(news, "news").otherwise("web")
+    return F.concat_ws("|", engine, kind, region, F.coalesce(recency, F.lit("any")), results.cast("string"), query)
+
+
+def answered(requests: DataFrame, cache: DataFrame, key: str, now: Column, life: int = 3600) -> DataFrame:
+    """Each request with `usable`, and the newest cached row of its key in `cached` where that may be used: hits and misses by one join.
+
+    cache: key, fetched_at, results (an array). Searches without results are never taken from the cache, as an engine may only
+    have been slow; of a key's rows the newest counts, a grouped maximum. Rows from after `now` do not count.
+    """
+    rest = F.struct(*[c for c in cache.columns if c != key])
+    rows = cache.where((F.size("results") > 0) & (F.col("fetched_at") <= now))
+    newest = rows.groupBy(key).agg(F.max_by(rest, "fetched_at").alias("cached"))
+    age = now.cast("long") - F.col("cached.fetched_at").cast("long")
+    usable = F.coalesce(age < life, F.lit(False))
+    out = requests.join(newest, key, "left").withColumn("usable", usable)
+    return out.withColumn("cached", F.when(F.col("usable"), F.col("cached")))
+
+
 def guarded(cell: Column) -> Column:
     """A cell that a spreadsheet does not take for a formula."""
     return F.when(cell.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), cell)).otherwise(cell)

@@ -7,11 +7,11 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from factloom.functions import align
+from factloom.functions import align, stem
 from factloom.functions import text as t
 from factloom.functions import urls as u
-from factloom.operators import evaluation, evidence, factcheck, ledger, retrieval, sites
-from factloom.sources import extraction
+from factloom.operators import delivery, evaluation, evidence, factcheck, ledger, retrieval, sites
+from factloom.sources import extraction, pages
 from factloom.streaming import streams
 
 
@@ -446,3 +446,73 @@ def test_near_quotes_over_a_corpus_find_all(spark):
                 if span and (i, j) != (81, 61):
                     want[i, j] = text[span[0] : span[1]]
     assert (80, 61) in want and len(want) > 60 and got == want
+
+
+def test_memory_of_near_copies(spark):
+    """learn() against a walk through all findings in order."""
+    r = random.Random(6)
+    words = "the big firm opened twelve new shops in town today and sold many 4711 things there".split()
+    base = [" ".join(r.sample(words, 9)) for _ in range(12)]
+
+    def some(quote):
+        q = list(quote)
+        for _ in range(r.randint(0, 2)):
+            k = r.randrange(len(q))
+            q[k : k + 1] = r.choice(["", "e", "xy"])
+        q = "".join(q)
+        return r.choice([q, q.upper(), q + " and more of it", q[: max(14, len(q) - r.randint(0, 20))]])
+
+    day = lambda k: datetime.datetime(2026, 1, 1) + datetime.timedelta(days=k)
+    stored = [("u1", base[0], "old claim", "g", 0, day(0), day(1), True), ("u1", base[1], "older", "g", 0, day(0) + datetime.timedelta(hours=1), day(9), False)]
+    found = [(f"u{r.randint(1, 2)}", some(r.choice(base)), f"claim {k}", "g", 1 + k // 20, k % 20, day(2 + k // 20), k % 7 != 0) for k in range(100)]
+    bad = [("u1", base[3]), ("u2", base[4])]
+    fold = lambda s: " ".join(s.lower().split())
+    nums = lambda s: {w for w in s.split() if w.isdigit()}
+
+    def holds(text, quote):
+        if quote in text:
+            return True
+        span = align.nearest(text, quote) if len(text) >= len(quote) >= 12 else None
+        return span is not None and nums(quote) <= nums(text[span[0] : span[1]])
+
+    same = lambda a, b: holds(fold(a), fold(b)) or holds(fold(b), fold(a))
+    memory = [list(x) for x in stored]
+    for url, quote, claim, goal, run, _, seen, trusted in sorted(found, key=lambda x: (x[6], x[4], x[5])):
+        if not trusted:
+            continue
+        row = next((m for m in memory if m[0] == url and same(m[1], quote)), None)
+        if row:
+            row[6] = max(row[6], seen)
+        else:
+            memory.append([url, quote, claim, goal, run, seen, seen, any(u == url and same(q, quote) for u, q in bad)])
+    frame = spark.createDataFrame
+    shape = "url string, quote string, claim string, goal string, run_id long, first_seen timestamp, last_seen timestamp, hidden boolean"
+    got = delivery.learn(frame(stored, shape), frame(found, "url string, quote string, claim string, goal string, run_id long, pos int, seen timestamp, trusted boolean"), frame(bad, "url string, quote string"))
+    assert 10 < len(memory) < 70 and sorted(map(tuple, got.collect())) == sorted(map(tuple, memory))
+
+
+def test_stems(spark):
+    """Examples of the published description, and recall by stems without diacritics."""
+    told = (
+        "caresses caress ponies poni caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop "
+        "tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit radicalli radic "
+        "vietnamization vietnam operator oper feudalism feudal decisiveness decis hopefulness hope formaliti formal sensibiliti sensibl triplicate triplic formalize formal electrical electr "
+        "goodness good revival reviv allowance allow airliner airlin adjustable adjust replacement replac adoption adopt homologou homolog communism commun probate probat rate rate cease ceas "
+        "controll control roll roll running run"
+    ).split()
+    assert [stem.stem(w) for w in told[::2]] == told[1::2]
+    memory = spark.createDataFrame([(1, "He runs daily", "", "", 5, False), (2, "the cafés were closed", "", "", 6, False), (3, "running shoes", "x", "", 7, True)], "memory_id int, claim string, quote string, goal string, last_seen int, hidden boolean")
+    asked = spark.createDataFrame([(1, ["running"]), (2, ["cafe"]), (3, ["closing", "run"])], "query_id int, tokens array<string>")
+    found = lambda stemmed: {(r.query_id, r.memory_id) for r in retrieval.recall(asked, memory, 5, stemmed).collect()}
+    assert found(True) == {(1, 1), (2, 2), (3, 1), (3, 2)} and found(False) == set()
+
+
+def test_search_cache(spark):
+    now = datetime.datetime(2026, 1, 1, 12)
+    ago = lambda s: now - datetime.timedelta(seconds=s)
+    cache = spark.createDataFrame([("a", ago(10), ["x"]), ("a", ago(5), []), ("a", ago(50), ["y"]), ("b", ago(3600), ["z"]), ("c", ago(-5), ["w"])], "key string, fetched_at timestamp, results array<string>")
+    asked = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "key string, n int")
+    got = pages.answered(asked, cache, "key", F.lit(now)).orderBy("n").collect()
+    assert [(r.key, r.usable, r.cached and r.cached.results) for r in got] == [("a", True, ["x"]), ("b", False, None), ("c", False, None), ("d", False, None)]
+    keys = spark.range(1).select(pages.search_key(F.lit("e"), F.lit(True), F.lit("uk"), F.lit(None).cast("string"), F.lit(5), F.lit("q")).alias("k"))
+    assert keys.first().k == "e|news|uk|any|5|q"
