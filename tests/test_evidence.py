@@ -448,6 +448,17 @@ def test_near_quotes_over_a_corpus_find_all(spark):
     assert (80, 61) in want and len(want) > 60 and got == want
 
 
+def test_repeated_claims_and_names(spark):
+    """A repeat of a claim that was set aside may still be made; any name before a number counts."""
+    texts = spark.createDataFrame([(1, "The tool ran on Windows 7 first. It got faster in 2019 by half. [12] Later it was sold for 40 coins.")], "check int, text string")
+    claims = spark.createDataFrame([
+        (1, 1, "It was sold for 40 coins", "nowhere to be found"), (1, 2, "It was sold for 40 coins", "Later it was sold for 40 coins."), (1, 3, "it was SOLD for 40 coins", "Later it was sold for 40 coins."),
+        (1, 4, "Mac 7 and Windows 7 got faster in 2019", "It got faster in 2019 by half."), (1, 5, "It was sold for 12 coins", "Later it was sold for 40 coins."),
+    ], "check int, pos int, claim string, excerpt string")
+    got = factcheck.anchor_claims(claims, texts, 9).select("pos", "reason", "kept")
+    assert rows(got, "pos") == [(1, "its passage is not in the text", False), (2, None, True), (4, None, True), (5, "its passage does not say 12", False)]
+
+
 def test_memory_of_near_copies(spark):
     """learn() against a walk through all findings in order."""
     r = random.Random(6)
