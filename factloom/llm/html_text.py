@@ -17,7 +17,7 @@ from factloom.llm.common import table, written
 
 # Element names of HTML by what they do here.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = "script style noscript template textarea title iframe svg math object select"
+HIDDEN = "script style noscript template textarea title iframe svg object select"
 BLOCK = set("address blockquote caption center dd dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr legend li ol p pre table tbody thead tfoot tr ul summary details".split())
 CONTAINER = set("html head body article main section div nav header footer aside form menu dialog button ul ol table details fieldset".split())
 DROPPED = set("head nav header footer aside form menu dialog button fieldset".split())
@@ -46,8 +46,8 @@ GROUP = 8
 REPEATS, SHARE = 3, 5
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + HIDDEN.replace(" ", "|") + r")\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>",
+    r"<!--.*?(?:-->|\Z)|<svg\b[^>]*?/>|<(" + HIDDEN.replace(" ", "|") + r")\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>",  # quotes count behind = only
     re.S | re.I,
 )
 MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -201,13 +201,15 @@ def template(wrapper: str) -> set[tuple[str, str]]:
 def main_text(parts: list[tuple[str, str]], fixed: set[tuple[str, str]]) -> list[str]:
     """The texts of a page's blocks that are the article's.
 
-    Those through an article element, else through a main element, else all whose path names no
+    Those through an article element, with those of a main element that has no article in it; else all whose path names no
     noise and whose text is not the template's; if the template's are all there are, they stay.
     """
     clean = [(path, text) for path, text in parts if not noise(path)]
-    for mark in MAIN:
-        if inside := [text for path, text in clean if mark in path.split("/")]:
-            return inside
+    through = [path.split("/") for path, _ in clean]
+    within = any("article" in path and "main" in path for path in through)
+    marks = MAIN[:1] if within else MAIN
+    if inside := [text for path, (_, text) in zip(through, clean, strict=True) if any(m in path for m in marks)]:
+        return inside
     own = [text for path, text in clean if not fixed or (path, blake2b(text.encode(), digest_size=8).hexdigest()) not in fixed]
     return own or [text for _, text in clean]
 

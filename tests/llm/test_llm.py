@@ -306,6 +306,21 @@ def test_html_mixed_templates(spark):
     assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {0: "One", 1: "Two", 2: "Three", 3: "Four", 4: "Five\n\nSix"}
 
 
+def test_html_odd_tags(spark):
+    """Nothing but noise goes: self-closed drawings, formulas, stray quotes in tags, a main part beside an article."""
+    pages = [
+        "<article><p>One <svg viewBox='0 0 1 1'/> two<p><svg><text>no</text></svg>three</article>",
+        "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</article>",
+        "<article><p title=it's>One</p><p title='a > b' alt=\"c > d\">don't</p><p data-x=\">Two</p></article>",
+        "<article><p>Teaser</article><main><p>The main text</main>",
+        "<main><p>Around<article><p>The article</article></main>",
+    ]
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {
+        0: "One two\n\nthree", 1: "Let x=1 be", 2: "One\n\ndon't\n\nTwo", 3: "Teaser\n\nThe main text", 4: "The article",
+    }
+
+
 def test_quality(docs):
     rows = {r.doc_id: r for r in quality.judged(docs).collect()}
     assert rows[0].kept and rows[5].base_failed and rows[4].n_words == 0 and not rows[6].kept
