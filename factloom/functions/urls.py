@@ -36,12 +36,20 @@ def registrable_domain(host: Column) -> Column:
     return F.when(address, host).otherwise(F.array_join(F.slice(labels, n - keep + 1, keep), "."))
 
 
+def encoded(text: Column) -> Column:
+    """A part of a query, written anew: what is encoded and what need not be come out alike. What cannot be decoded is taken as it stands."""
+    plain = F.coalesce(F.try_url_decode(text), text)
+    return F.replace(F.replace(F.url_encode(plain), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def canonical_url(url: Column) -> Column:
-    """Without fragment, tracking parameters and trailing slashes; scheme and host in lower case."""
+    """Without fragment, tracking parameters and trailing slashes; scheme and host in lower case, the query encoded anew."""
+    url = F.trim(url)
     pairs = F.filter(F.split(part(url, 4), "&"), lambda p: p != "")
-    name = lambda p: F.lower(F.split_part(p, F.lit("="), F.lit(1)))
+    name = lambda p: F.lower(F.coalesce(F.try_url_decode(F.split_part(p, F.lit("="), F.lit(1))), F.split_part(p, F.lit("="), F.lit(1))))
     pairs = F.filter(pairs, lambda p: ~F.startswith(name(p), F.lit("utm_")) & ~name(p).isin(TRACKING))
-    pairs = F.transform(pairs, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))))
+    value = lambda p: F.when(F.instr(p, "=") > 0, F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("")
+    pairs = F.transform(pairs, lambda p: F.concat(encoded(F.split_part(p, F.lit("="), F.lit(1))), F.lit("="), encoded(value(p))))
     path = F.regexp_replace(part(url, 3), "/+$", "")
     path = F.when(path == "", "/").otherwise(path)
     query = F.array_join(pairs, "&")

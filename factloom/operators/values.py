@@ -79,6 +79,29 @@ def series(observations: DataFrame, key: list[str], order: list[str], amount: st
     )
 
 
+def measured_series(observations: DataFrame, order: list[str]) -> DataFrame:
+    """(key, currency, unit, label, measure, first, last, low, high, points, percent): a series for each fact and measure.
+
+    observations: key, label, amount, currency, unit. A price that moves to another currency or unit begins a new series. The label is the
+    last one; percent is the change from first to last, null from zero; the measure is like "USD per hour".
+    """
+    by = ["key", "currency", "unit"]
+    labels = observations.groupBy(*by).agg(F.max_by("label", F.struct(*order)).alias("label")).withColumnsRenamed({"key": "k", "currency": "c", "unit": "u"})
+    rows = series(observations, by, order, "amount").join(labels, F.col("key").eqNullSafe(F.col("k")) & F.col("currency").eqNullSafe(F.col("c")) & F.col("unit").eqNullSafe(F.col("u")))
+    measure = F.concat_ws(" ", "currency", F.concat(F.lit("per "), "unit"))
+    percent = F.when(F.col("first") != 0, (F.col("last") - F.col("first")) / F.col("first") * 100)
+    return rows.select(*by, "label", measure.alias("measure"), "first", "last", "low", "high", "points", percent.alias("percent"))
+
+
+def percent_moves(observations: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Adds percent: how amount moved from the point before; null from zero, for the first, and where currency or unit changed."""
+    by = Window.partitionBy(*key).orderBy(*order)
+    before = lambda c: F.lag(c).over(by)
+    rows = observations.withColumns({"_amount": before("amount"), "_currency": before("currency"), "_unit": before("unit")})
+    same = F.col("_currency").eqNullSafe(F.col("currency")) & F.col("_unit").eqNullSafe(F.col("unit")) & (F.col("_amount") != 0)
+    return rows.withColumn("percent", F.when(same, (F.col("amount") - F.col("_amount")) / F.col("_amount") * 100)).drop("_amount", "_currency", "_unit")
+
+
 def moves(observations: DataFrame, key: list[str], order: list[str], amount: str) -> DataFrame:
     """Adds previous: the amount before, null for the first."""
     return observations.withColumn("previous", F.lag(amount).over(Window.partitionBy(*key).orderBy(*order)))

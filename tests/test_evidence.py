@@ -527,3 +527,20 @@ def test_search_cache(spark):
     assert [(r.key, r.usable, r.cached and r.cached.results) for r in got] == [("a", True, ["x"]), ("b", False, None), ("c", False, None), ("d", False, None)]
     keys = spark.range(1).select(pages.search_key(F.lit("e"), F.lit(True), F.lit("uk"), F.lit(None).cast("string"), F.lit(5), F.lit("q")).alias("k"))
     assert keys.first().k == "e|news|uk|any|5|q"
+
+
+def test_measured_series_and_moves(spark):
+    from factloom.operators import values
+
+    told = [("a", "old", 100, "USD", None), ("a", "new", 80, "USD", None), ("a", "eur", 5, "EUR", None), ("a", "eur", 6, "EUR", "hour"), ("a", "eur", 9, "EUR", "hour"), ("b", "zero", 0, None, None), ("b", "zero", 3, None, None)]
+    points = spark.createDataFrame([(n, *x) for n, x in enumerate(told)], "n int, key string, label string, amount int, currency string, unit string")
+    got = sorted(rows(values.measured_series(points, ["n"]).select("key", "measure", "label", "first", "last", "low", "high", "points", "percent")), key=lambda r: r[:2])
+    assert got == [("a", "EUR", "eur", 5, 5, 5, 5, 1, 0.0), ("a", "EUR per hour", "eur", 6, 9, 6, 9, 2, 50.0), ("a", "USD", "new", 100, 80, 80, 100, 2, -20.0), ("b", "", "zero", 0, 3, 0, 3, 2, None)]
+    assert [r.percent for r in values.percent_moves(points, ["key"], ["n"]).orderBy("n").collect()] == [None, -20.0, None, None, 50.0, None, None]
+
+
+def test_pack_errors(spark):
+    packs = spark.createDataFrame([("price", ["product", "limit"], ["product"])], "pack string, params array<string>, required array<string>")
+    given = spark.createDataFrame([("price", {"product": "X"}), ("price", {"product": " "}), ("price", {"b": "1", "a": "2"}), ("none", {"x": "1"}), ("price", {"limit": None, "product": "Y"})], "pack string, values map<string,string>")
+    got = {r.error for r in delivery.pack_errors(given, packs).collect()}
+    assert got == {"pack price needs product=...", "pack price has no parameter a, b", "there is no pack none"} and delivery.pack_errors(given, packs).count() == 3

@@ -77,3 +77,18 @@ def test_stream_of_new_versions(spark, tmp_path):
     stream = spark.readStream.schema(shape).parquet(str(tmp_path / "pages"))
     streams.write_new_versions(stream, str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
     assert [r["content_hash"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["h1"]
+
+
+def test_canonical_query(spark):
+    told = {
+        "http://A.com/x/?q=a%20b&utm_source=1#f": "http://a.com/x?q=a+b", "http://a.com/x?q=a+b": "http://a.com/x?q=a+b", "https://a.com?a&b=&c=1=2&gclid=9": "https://a.com/?a=&b=&c=1%3D2",
+        "https://a.com/?q=%zz&t=~*": "https://a.com/?q=%25zz&t=~%2A", "https://a.com/?q=caf%C3%A9": "https://a.com/?q=caf%C3%A9", "https://a.com/?UTM%5Fx=1": "https://a.com/",
+    }
+    assert one(spark, u.canonical_url, *told) == list(told.values())
+
+
+def test_replies_of_wrong_types(spark):
+    told = ['{"n": 5, "t": "x", "l": [1]}', 'so {"n": "five", "t": "x"}', '{"n": null, "l": "no"}', '{"n": 1, "z": 2}', '{"t": "x"}', "none"]
+    got = one(spark, lambda c: t.parse_reply(c, F.lit(None).cast("string"), "n int, t string, l array<int>", ["n"]), *told)
+    assert [r["reason"] for r in got] == [None, "wrong type: n", "wrong type: l", "unknown: z", "missing: n", "no JSON object"]
+    assert got[0]["value"].asDict() == {"n": 5, "t": "x", "l": [1]} and got[1]["value"] is None
