@@ -45,6 +45,58 @@ def regressions(baseline: DataFrame, scores: DataFrame) -> DataFrame:
     return rows.where((F.size("lost") > 0) | (F.size("newly_trusted") > 0))
 
 
+def restored(sources: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Sources of stored runs (run_id, source_no, content_hash, snippet_only) with the text and offers that they had then, and `gone`.
+
+    snapshots: content_hash, text, offers. A page whose version is no longer stored counts as a snippet without text.
+    """
+    kept = snapshots.groupBy("content_hash").agg(F.first(F.struct("text", "offers")).alias("s"))
+    rows = sources.drop("text", "offers").join(kept, "content_hash", "left")
+    gone = ~F.col("snippet_only") & F.col("s").isNull()
+    shown = F.when(~F.col("snippet_only"), F.col("s"))
+    rows = rows.withColumns({"gone": gone, "text": F.coalesce(shown["text"], F.lit("")), "offers": shown["offers"]})
+    return rows.withColumn("snippet_only", F.col("snippet_only") | F.col("gone")).drop("s")
+
+
+def cases_from_runs(runs: DataFrame, sources: DataFrame, ratings: DataFrame) -> DataFrame:
+    """(run_id, goal, plan, facts, untrusted, error) of stored runs as cases: good ratings are expected facts, bad ones must not be trusted.
+
+    sources: as restored() gives them. ratings: run_id, number, verdict, value, quote. A run with pages that are gone
+    is no case, and says how many.
+    """
+    lost = sources.groupBy("run_id").agg(F.count_if("gone").alias("lost"))
+    text = F.coalesce("value", "quote")
+    each = lambda verdict: F.sort_array(F.collect_list(F.when(F.col("verdict") == verdict, F.struct("number", text.alias("t")))))
+    told = ratings.groupBy("run_id").agg(each("good").alias("good"), each("bad").alias("bad"))
+    rows = runs.select("run_id", "goal", "plan").join(lost, "run_id", "left").join(told, "run_id", "left")
+    texts = lambda c: F.coalesce(F.transform(c, lambda x: x["t"]), F.array().cast("array<string>"))
+    error = F.when(F.col("lost") > 0, F.concat(F.col("lost").cast("string"), F.lit(" page(s) are gone")))
+    return rows.select("run_id", "goal", "plan", texts("good").alias("facts"), texts("bad").alias("untrusted"), error.alias("error"))
+
+
+def replayed(requests: DataFrame, replies: DataFrame) -> DataFrame:
+    """(case, seq, purpose, reply) of requests (case, seq, purpose) met by recorded replies (case, purpose, replies): the n-th of a purpose by its n-th.
+
+    reply is null where none is recorded.
+    """
+    nth = F.row_number().over(Window.partitionBy("case", "purpose").orderBy("seq"))
+    rows = requests.withColumn("nth", nth).join(replies, ["case", "purpose"], "left")
+    return rows.select("case", "seq", "purpose", F.get("replies", F.col("nth") - 1).alias("reply"))
+
+
+def replay_counts(before: DataFrame, after: DataFrame, sources: DataFrame) -> DataFrame:
+    """(run_id, findings_before, findings_after, trusted_before, trusted_after, note) of runs whose pages were analysed again.
+
+    before and after: findings (run_id, trusted). sources: as restored() gives them; the note tells how many pages are gone.
+    """
+    count = lambda rows, when: rows.groupBy("run_id").agg(F.count("*").alias("findings_" + when), F.count_if("trusted").alias("trusted_" + when))
+    lost = sources.groupBy("run_id").agg(F.count_if("gone").alias("lost"))
+    rows = lost.join(count(before, "before"), "run_id", "left").join(count(after, "after"), "run_id", "left")
+    note = F.concat(F.lit("replay of run "), F.col("run_id").cast("string"), F.when(F.col("lost") > 0, F.concat(F.lit("; "), F.col("lost").cast("string"), F.lit(" page(s) of it are no longer stored"))).otherwise(""))
+    counts = [F.coalesce(f"{what}_{when}", F.lit(0)).alias(f"{what}_{when}") for what in ("findings", "trusted") for when in ("before", "after")]
+    return rows.select("run_id", *counts, note.alias("note"))
+
+
 def name_id(name: Column) -> Column:
     """The UUID of version 5 of a name in the name space of URLs."""
     h = F.sha1(F.concat(F.unhex(F.lit(URL_SPACE)), F.encode(name, "UTF-8")))

@@ -544,3 +544,24 @@ def test_pack_errors(spark):
     given = spark.createDataFrame([("price", {"product": "X"}), ("price", {"product": " "}), ("price", {"b": "1", "a": "2"}), ("none", {"x": "1"}), ("price", {"limit": None, "product": "Y"})], "pack string, values map<string,string>")
     got = {r.error for r in delivery.pack_errors(given, packs).collect()}
     assert got == {"pack price needs product=...", "pack price has no parameter a, b", "there is no pack none"} and delivery.pack_errors(given, packs).count() == 3
+
+
+def test_replay_and_cases_from_runs(spark):
+    frame = spark.createDataFrame
+    sources = frame([(1, 1, "h1", False), (1, 2, None, True), (2, 1, "h2", False), (2, 2, "h1", False)], "run_id int, source_no int, content_hash string, snippet_only boolean")
+    stored = evaluation.restored(sources, frame([("h1", "the page", None), ("h1", "the page", None)], "content_hash string, text string, offers array<string>"))
+    assert rows(stored.select("run_id", "source_no", "text", "snippet_only", "gone"), "run_id", "source_no") == [
+        (1, 1, "the page", False, False), (1, 2, "", True, False), (2, 1, "", True, True), (2, 2, "the page", False, False)
+    ]
+    ratings = frame([(1, 3, "bad", None, "q3"), (1, 2, "good", None, "q2"), (1, 1, "good", "$5", "q1")], "run_id int, number int, verdict string, value string, quote string")
+    runs = frame([(1, "g", "p"), (2, "h", "p"), (3, "i", "p")], "run_id int, goal string, plan string")
+    assert rows(evaluation.cases_from_runs(runs, stored, ratings), "run_id") == [
+        (1, "g", "p", ["$5", "q2"], ["q3"], None), (2, "h", "p", [], [], "1 page(s) are gone"), (3, "i", "p", [], [], None)
+    ]
+    asked = frame([("a", 1, "plan"), ("a", 2, "extract"), ("a", 3, "extract"), ("a", 4, "extract"), ("b", 1, "plan")], "case string, seq int, purpose string")
+    recorded = frame([("a", "plan", ["P"]), ("a", "extract", ["X", "Y"])], "case string, purpose string, replies array<string>")
+    assert [r.reply for r in evaluation.replayed(asked, recorded).orderBy("case", "seq").collect()] == ["P", "X", "Y", None, None]
+    found = lambda *x: frame(list(x), "run_id int, trusted boolean")
+    assert rows(evaluation.replay_counts(found((1, True), (1, False)), found((1, True), (2, True)), stored), "run_id") == [
+        (1, 2, 1, 1, 1, "replay of run 1"), (2, 0, 1, 0, 1, "replay of run 2; 1 page(s) of it are no longer stored")
+    ]
