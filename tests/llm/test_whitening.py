@@ -39,7 +39,7 @@ def check(spark, data, most=32):
 
 def test_whitening(spark, monkeypatch):
     r = np.random.default_rng(1)
-    check(spark, r.standard_normal((300, 40)) * np.linspace(3, 0.5, 40))
+    check(spark, r.standard_normal((300, 12)) * np.linspace(3, 0.5, 12))
     monkeypatch.setattr(whitening, "BLOCK", 7)
     check(spark, r.standard_normal((50, 6)), most=3)
     check(spark, r.standard_normal((5, 9)) * 10)  # fewer rows than dimensions
