@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Outcomes of a fetch that count against a site.
 FAILURES = "blocked timeout network_error server_error junk empty".split()
@@ -12,17 +11,15 @@ FAILURES = "blocked timeout network_error server_error junk empty".split()
 
 def site_health(log: DataFrame) -> DataFrame:
     """reads, failures, streak of failures since the last success and last_failure of each site of a fetch log (site, status, at, seq)."""
+    ok, at = F.col("status") == "ok", F.struct("at", "seq")
     rows = log.where(F.col("status").isin("ok", *FAILURES))
-    ok = (F.col("status") == "ok").cast("int")
-    epoch = F.sum(ok).over(Window.partitionBy("site").orderBy("at", "seq"))
-    rows = rows.withColumns({"ok": ok, "epoch": epoch})
-    each = rows.groupBy("site", "epoch").agg(
-        F.sum("ok").alias("reads"), F.sum(1 - F.col("ok")).alias("failures"), F.max(F.when(F.col("ok") == 0, F.col("at"))).alias("last_failure")
-    )
-    return each.groupBy("site").agg(
-        F.sum("reads").alias("reads"), F.sum("failures").alias("failures"), F.max_by("failures", "epoch").alias("streak"),
-        F.max("last_failure").alias("last_failure"),
+    each = rows.groupBy("site").agg(
+        F.count_if(ok).alias("reads"), F.count_if(~ok).alias("failures"), F.max(F.when(~ok, F.col("at"))).alias("last_failure"), F.max(F.when(ok, at)).alias("success")
     )
+    # the failures behind a site's last success: a join and a count, so that no site's log is sorted in one task
+    behind = rows.where(~ok).select("site", at.alias("place")).join(each.select("site", "success"), "site").where("success IS NULL OR place >= success")
+    streak = behind.groupBy("site").agg(F.count("*").alias("streak"))
+    return each.join(streak, "site", "left").select("site", "reads", "failures", F.coalesce("streak", F.lit(0)).alias("streak"), "last_failure")
 
 
 def avoided(streak: Column, last_failure: Column, now: Column) -> Column:

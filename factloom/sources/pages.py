@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def fetch_status(code: Column) -> Column:
@@ -83,11 +82,10 @@ def guarded(cell: Column) -> Column:
 
 def prune(snapshots: DataFrame, used: DataFrame, now: Column, days: int = 90) -> DataFrame:
     """Snapshots to drop: older than `days`, not the newest of their URL, and not among the hashes that recent runs used."""
-    newest = F.max("fetched_at").over(Window.partitionBy("url"))
-    old = F.col("fetched_at") < now - F.expr(f"INTERVAL {days} DAYS")
-    return snapshots.withColumn("newest", newest).where(old & (F.col("fetched_at") < F.col("newest"))).drop("newest").join(
-        used, "content_hash", "left_anti"
-    )
+    newest = snapshots.groupBy(F.col("url").alias("_url")).agg(F.max("fetched_at").alias("_newest"))
+    old = snapshots.where(F.col("fetched_at") < now - F.expr(f"INTERVAL {days} DAYS"))
+    old = old.join(newest, F.col("url").eqNullSafe(F.col("_url"))).where(F.col("fetched_at") < F.col("_newest")).drop("_url", "_newest")
+    return old.join(used, "content_hash", "left_anti")
 
 
 def write_ratings(ratings: DataFrame, path: str) -> None:
