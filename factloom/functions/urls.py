@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.text import let
+
 # Second levels under country domains, click-tracking parameters, advert links, listing hints.
 SECOND_LEVELS = "ac co com edu gov net or org".split()
 TRACKING = "fbclid gclid mc_cid mc_eid msclkid yclid".split()
@@ -22,13 +24,16 @@ def part(url: Column, n: int) -> Column:
 
 def hostname(url: Column) -> Column:
     """Lower-case host without user, port, trailing dots and one leading www."""
-    host = F.lower(F.regexp_replace(F.regexp_replace(part(url, 2), "^.*@", ""), r":\d*$", ""))
-    return F.regexp_replace(F.regexp_replace(host, r"\.+$", ""), r"^www\.", "")
+    tail = r"\.*(?::\d*)?$"
+    return F.lower(F.regexp_replace(part(url, 2), rf"(?i){tail}|^(?:.*@)?(?:www\.(?!{tail}))?", ""))
 
 
 def registrable_domain(host: Column) -> Column:
     """The last two labels of a host, three under a country's common second level; addresses stay."""
-    labels = F.split(host, r"\.")
+    return let(F.struct(host.alias("host"), F.split(host, r"\.").alias("labels")), lambda x: domain_of(x["host"], x["labels"]))
+
+
+def domain_of(host: Column, labels: Column) -> Column:
     n = F.size(labels)
     country = (n > 2) & (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, n - 2).isin(SECOND_LEVELS)
     keep = F.least(n, F.when(country, 3).otherwise(2))
@@ -91,16 +96,21 @@ PRIVATE_V6 = r"^(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|2001:db8:.*|100::.
 def address_number(address: Column) -> Column:
     """An IPv4 address as a number; null for what is none."""
     parts = F.transform(F.split(address, r"\."), lambda p: F.when(p.rlike(r"^\d{1,3}$"), p).cast("long"))
-    fits = (F.size(parts) == 4) & F.forall(parts, lambda p: F.coalesce(p <= 255, F.lit(False)))
-    return F.when(fits, F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p))
+    fits = lambda p: (F.size(p) == 4) & F.forall(p, lambda x: F.coalesce(x <= 255, F.lit(False)))
+    return let(parts, lambda p: F.when(fits(p), F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a * 256 + x)))
 
 
 def private_address(url: Column) -> Column:
     """The address that is a URL's host, where it is not on the public internet; null for names and public addresses."""
-    host = F.lower(F.regexp_replace(part(url, 2), "^.*@", ""))
-    v6 = F.regexp_extract(host, r"^\[([0-9a-f:.]+)\]", 1)
-    v4 = F.coalesce(F.nullif(F.regexp_extract(v6, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1), F.lit("")), F.regexp_replace(host, r":\d*$", ""))
-    n = address_number(v4)
     numeric = lambda a: sum(int(x) << 8 * (3 - i) for i, x in enumerate(a.split(".")))
-    inside = F.greatest(F.lit(False), *[n.between(numeric(a), numeric(b)) for a, b in PRIVATE])
-    return F.when(n.isNotNull() & inside, v4).when((v6 != "") & v6.rlike(PRIVATE_V6), v6)
+
+    def judged(v4: Column, v6: Column, n: Column) -> Column:
+        inside = F.greatest(F.lit(False), *[n.between(numeric(a), numeric(b)) for a, b in PRIVATE])
+        return F.when(n.isNotNull() & inside, v4).when((v6 != "") & v6.rlike(PRIVATE_V6), v6)
+
+    def both(host: Column, v6: Column) -> Column:
+        mapped = F.nullif(F.regexp_extract(v6, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1), F.lit(""))
+        return let(F.coalesce(mapped, F.regexp_replace(host, r":\d*$", "")), lambda v4: let(address_number(v4), lambda n: judged(v4, v6, n)))
+
+    host = F.lower(F.regexp_replace(part(url, 2), "^.*@", ""))
+    return let(host, lambda h: let(F.regexp_extract(h, r"^\[([0-9a-f:.]+)\]", 1), lambda v6: both(h, v6)))
