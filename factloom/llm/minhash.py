@@ -23,7 +23,10 @@ LONG = 256
 #: Texts of at most so many words have sketches of single words too, as one edit may touch all their k-mers.
 SHORT = 48
 SLOTS = 256  # of the signature that weeds out candidates
+#: Texts of more words have a second signature of more slots, as any two long texts fill the first one much alike.
+LONG_WORDS, WIDE = 512, 2048
 ROUNDS = 3  # of comparisons with one text of each bucket
+CLOSEST = 2  # alignments of the most alike pair of each two components, before all that are left
 BLOCK = 1024
 WORDS_KEPT = 200_000
 WORD = re.compile(r"\w+")
@@ -136,6 +139,11 @@ def within(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least:
     return (gap <= most) & (apart <= 2 * most - gap)
 
 
+def marks(words: np.ndarray) -> bytes:
+    """The signature, and behind it that of more slots if the text is long."""
+    return signature(words) + (signature(words, WIDE) if len(words) > LONG_WORDS else b"")
+
+
 def edits(x: list, y: list, most: int) -> int:
     """How many words must be put in, left out or replaced to make y of x, or most + 1 where that is more than `most`.
 
@@ -194,7 +202,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 if words := words_of(text):
                     h = known.of(words)
                     same = hashlib.md5(" ".join(words).encode()).digest()
-                    out.append((doc_id, same, len(h), signature(h), sketches(h)))
+                    out.append((doc_id, same, len(h), marks(h), sketches(h)))
             yield pd.DataFrame(out, columns=["doc_id", "words_hash", "n", "signature", "keys"])
 
     rows = docs.where("doc_id IS NOT NULL AND text <> ''").select(F.col("doc_id").cast("long"), "text")
@@ -208,9 +216,12 @@ def close(n: Column, m: Column) -> Column:
 
 def likely(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> np.ndarray:
     """Whether lengths and signatures let a pair reach LEAST."""
-    x = np.frombuffer(b"".join(a), dtype=np.uint8).reshape(-1, SLOTS)
-    y = np.frombuffer(b"".join(b), dtype=np.uint8).reshape(-1, SLOTS)
-    return within(x, y, na.to_numpy(), nb.to_numpy())
+    x, y, nx, ny = stacked(a, np.uint8), stacked(b, np.uint8), na.to_numpy(), nb.to_numpy()
+    may = within(x[:, :SLOTS], y[:, :SLOTS], nx, ny)
+    at = np.flatnonzero(may & [len(s) > SLOTS and len(t) > SLOTS for s, t in zip(a, b, strict=True)])
+    if len(at):
+        may[at] = within(x[at, SLOTS:], y[at, SLOTS:], nx[at], ny[at])
+    return may
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -278,6 +289,14 @@ def across(rows: DataFrame, most: int) -> DataFrame:
     return rows.select("rep", "component", "bucket", block.alias("block"), "side", F.lit(False).alias("alone"))
 
 
+def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b, far, ca, cb) that the parts found so far do not join, by these parts."""
+    for end in ("ca", "cb"):
+        now = parts.select(F.col("rep").alias(end), F.col("component").alias("now"))
+        pairs = pairs.join(now, end, "left").withColumn(end, F.coalesce("now", end)).drop("now")
+    return pairs.where("ca <> cb").select("a", "b", "far", "ca", "cb")
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rep) of the documents with words, rep the smallest doc_id of the same words; and (rep, component) of the reps with links.
 
@@ -285,7 +304,9 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     becomes one component from about as many pairs as it has rows; that is done again, ROUNDS times in
     all, in buckets where it joined most texts. Then texts of a bucket
     in different components are compared by their signatures in blocks; only pairs that may reach
-    LEAST leave the task and are aligned. No pair is left out for the size of a bucket.
+    LEAST leave the task. Of those of two components the one that the signatures hold for the most alike is
+    aligned first, CLOSEST times in all, as a link spares all others of the two; then what still lies between two
+    components is aligned whole. No pair is left out for the size of a bucket.
     """
     spark = docs.sparkSession
     rows = written(sketched(docs), "sketches")
@@ -338,12 +359,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def compare(block: dict[str, np.ndarray]) -> np.ndarray:
         order = np.argsort(block["n"], kind="stable")  # of a text only those up to a quarter longer are looked at
         rep, n, part, sig, side, keys = (block[c][order] for c in ("rep", "n", "component", "signature", "side", "keys"))
+        sig, wide = sig[:, :SLOTS], sig[:, SLOTS:]
         longest = n + np.floor(n * (1 - LEAST) / LEAST + 1e-9).astype(n.dtype)
-        ends = np.searchsorted(n, longest, side="right")
+        last = np.searchsorted(n, longest, side="right")
         coarse = sig.reshape(len(sig), SLOTS // 8, 8).sum(axis=2, dtype=np.int16)
         alone, out = bool(block["alone"][0]), []
         for i in range(len(rep) - 1):
-            end = ends[i]
+            end = last[i]
             may = part[i + 1 : end] != part[i]
             if not alone:
                 may &= side[i + 1 : end] != side[i]
@@ -353,16 +375,29 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 at = at[np.abs(coarse[at] - coarse[i]).sum(axis=1, dtype=np.int32) <= 2 * allowed(n[at])]
             if len(at):
                 at = at[within(sig[at], sig[i], n[at], n[i])]
+                if n[i] > LONG_WORDS:  # and so are the others, which are not shorter
+                    at = at[within(wide[at], wide[i], n[at], n[i])]
                 same = (keys[at] == keys[i]) & (keys[i] != 0)  # a pair is told by the first bucket that it shares
                 at = at[keys[i][same.argmax(axis=1)] == block["bucket"][0]]
-                out.append(np.stack([np.maximum(rep[at], rep[i]), np.minimum(rep[at], rep[i])], axis=1))
-        return np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
+                far = np.abs(sig[at].astype(np.int16) - sig[i]).sum(axis=1, dtype=np.int64) * 1000 // np.maximum(1, 2 * allowed(n[at]) - (n[at] - n[i]))
+                first = rep[at] > rep[i]
+                ends = [np.where(first, x[at], x[i]) for x in (rep, part)], [np.where(first, x[i], x[at]) for x in (rep, part)]
+                out.append(np.stack([ends[0][0], ends[1][0], far, ends[0][1], ends[1][1]], axis=1))
+        return np.concatenate(out) if out else np.empty((0, 5), dtype=np.int64)
 
     rest = rows.where("component <> top AND parts > 2").select("key", "rep", "component", F.col("key").alias("bucket"))
     slim_blocks = across(rows, BLOCK).unionByName(in_blocks(rest, "key", "rep", BLOCK))  # n comes with full
-    more = by_block(slim_blocks.join(full, "rep"), prepare, compare, 8 * partitions(spark))
-    second = written(verified(more.join(first, ["a", "b"], "left_anti"), texts), "links")
-    return members, merged(parts, second)
+    more = by_block(slim_blocks.join(full, "rep"), prepare, compare, 8 * partitions(spark), ("a", "b", "far", "ca", "cb"))
+    more = written(more.join(first, ["a", "b"], "left_anti"), "candidates")
+    for k in range(CLOSEST + 1):
+        tried = more
+        if k < CLOSEST:
+            tried = more.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
+            tried = written(tried, "tried")
+        parts = merged(parts, written(verified(tried.select("a", "b"), texts), "links"))
+        if k < CLOSEST:
+            more = written(apart(more.join(tried, ["a", "b"], "left_anti"), parts), "candidates")
+    return members, parts
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -538,3 +538,15 @@ def test_urls_against_plain_models(spark):
     least = urls.calibrated([(score(t), v == "allow") for t, v in held])
     assert [got[k] for k in range(len(ruled))] == [v for _, v in ruled]
     assert [got[len(ruled) + k] for k in range(len(asked))] == ["allow" if score(u.partition("://")[2]) >= least else "block" for u in asked]
+
+
+def test_long_texts_of_one_vocabulary_are_told_apart():
+    """Any two long texts filled 256 slots much alike, so all of a bucket were aligned with each other; near copies stay."""
+    r = np.random.default_rng(3)
+    words = r.integers(0, 2**63, 3000).astype(np.uint64)
+    a, b = (words[(3000 * r.random(4000) ** 2).astype(int)] for _ in range(2))
+    near = a.copy()
+    near[r.choice(4000, 790, replace=False)] = words[r.integers(0, 3000, 790)]
+    may = lambda x, y: minhash.likely(*(minhash.pd.Series([minhash.marks(v)]) for v in (x, y)), minhash.pd.Series([len(x)]), minhash.pd.Series([len(y)]))[0]
+    assert not may(a, b) and may(a, near) and may(a, np.delete(a, slice(0, 790)))
+    assert minhash.within(*(np.frombuffer(minhash.signature(v), dtype=np.uint8).reshape(1, -1) for v in (a, b)), [4000], [4000])[0]
